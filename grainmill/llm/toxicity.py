@@ -45,7 +45,7 @@ def distinct(buf: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.nd
     return keys >> bits, keys & ((1 << bits) - 1)
 
 
-def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 2, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1) -> tuple[float, np.ndarray, np.ndarray]:
+def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
     """The bias and the weights that aren't zero, as (features, weights)."""
     size = (1 << bits) + 1  # the last is the bias, without L1
     z, n = np.zeros(size), np.zeros(size)
@@ -69,7 +69,7 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 2,
     return float(w[-1]), used, w[used]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, bound: int = 6000, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, bound: int = 4500, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
     """Learn from at most bound labelled documents of each class, in one task that sees them by id hash."""
     chosen = common.labelled(labels, label, folds, held, bound).withColumnRenamed(common.ID, "_id")
     rows = common.id_text(docs).join(F.broadcast(chosen), F.col(common.ID) == F.col("_id")).select("_id", common.TEXT, "label")
