@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = {"toxicity": "op1_toxicity", "quality": "op9_quality", "rules": "op8_rules"}
+NAMES = {"toxicity": "op1_toxicity", "merkle": "op2_merkle", "pieces": "op3_pieces", "simhash": "op4_simhash", "rendezvous": "op5_rendezvous", "decontaminate": "op6_decontaminate", "rules": "op8_rules", "quality": "op9_quality"}
 
 
 def queries() -> dict:
