@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = {"toxicity": "op1_toxicity", "merkle": "op2_merkle", "pieces": "op3_pieces", "simhash": "op4_simhash", "rendezvous": "op5_rendezvous", "decontaminate": "op6_decontaminate", "substrings": "op7_substrings", "rules": "op8_rules", "quality": "op9_quality"}
+NAMES = {"toxicity": "op1_toxicity", "merkle": "op2_merkle", "pieces": "op3_pieces", "simhash": "op4_simhash", "rendezvous": "op5_rendezvous", "decontaminate": "op6_decontaminate", "substrings": "op7_substrings", "rules": "op8_rules", "quality": "op9_quality", "suffixes": "op10_suffixes"}
 
 
 def queries() -> dict:
