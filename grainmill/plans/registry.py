@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "rca_wide"
+from . import base, q_complexity, q_prepare, q_scalars, q_statistics, q_tables, q_text  # noqa: F401  registration
+
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
+FLAGSHIP = "proximity_edges"
 
 
 def queries() -> dict:
