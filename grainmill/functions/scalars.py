@@ -125,4 +125,7 @@ def beta_density(x: Column, alpha: float, beta: float, a: float, b: float) -> Co
 
 def decoded(b: Column) -> Column:
     """Bytes as UTF-8, or as windows-1252 where they are not valid."""
-    return F.coalesce(F.try_validate_utf8(b.cast("string")), F.decode(b, "windows-1252"))
+    high = [(chr(i), bytes([i]).decode("windows-1252", "ignore")) for i in range(0x80, 0xA0)]  # where it differs from Latin-1
+    high = [(x, y) for x, y in high if y]
+    latin = F.translate(F.decode(b, "iso-8859-1"), "".join(x for x, _ in high), "".join(y for _, y in high))
+    return F.coalesce(F.try_validate_utf8(b.cast("string")), latin)
