@@ -63,6 +63,11 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.withColumn("fs", F.transform(places, lambda i: F.struct(F.lit(WINDOW).alias("m"), i.alias("i"), F.get(F.col("gs"), i).alias("h"))))
 
 
+def prints_of(size: int) -> Column:
+    """(size, place, hash) of every gram of a size, for windows of short items."""
+    return F.transform(upto(F.col("n"), size), lambda i: F.struct(F.lit(size).alias("m"), i.alias("i"), gram(i, size).alias("h")))
+
+
 def windows(benchmark: DataFrame) -> DataFrame:
     """(size, key, sid, items): distinct windows as words, and their sets of items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text").cast("string")).alias("ws"))
@@ -89,7 +94,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = common.id_text(docs).select(common.ID, F.xxhash64(common.TEXT).alias("th"), words(F.col(common.TEXT)).alias("ws"))
     base = kept(hashed(base))
     one = F.array(F.struct(F.lit(0).alias("m"), F.col("n").alias("i"), F.lit(0).cast("long").alias("h")))  # one row a document, whatever it hits
-    extra = [F.transform(upto(F.col("n"), m), lambda i, m=m: F.struct(F.lit(m).alias("m"), i.alias("i"), gram(i, m).alias("h"))) for m in short]
+    extra = [prints_of(m) for m in short]
     found = base.select(common.ID, "th", "ws", "n", F.explode(F.concat(one, "fs", *extra)).alias("f")).select(common.ID, "th", "ws", "n", "f.*")
     found = found.join(small(prints, rows), ["m", "h"], "left").where("m = 0 OR met")
     # the windows that hold the gram
