@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, distributions, prep, regress
+from ..operators import clusters, distributions, prep, regress, series
 from .base import PANEL, panel, query, rounded
 
 _YX = "(SELECT l_extendedprice AS y, l_quantity AS x, l_discount AS z FROM lineitem)"
@@ -282,3 +282,40 @@ def _(t):
     b = a.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("weight").alias("w"))
     bad = a.join(b, ["i", "j"], "full").where(~F.coalesce(F.abs(F.col("weight") - F.col("w")) <= 1e-8 + 1e-5 * F.abs("w"), F.lit(False)))
     return bad.agg((F.count("*") == 0).alias("ok"))
+
+
+@query("shapiro")
+def _(t):
+    return rounded(series.shapiro_tests(panel(t), ["segment"], "total"), "w", "p", digits=5)
+
+
+@query("adf")
+def _(t):
+    daily = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
+    return rounded(series.adf_tests(daily, ["event_type"], "value", "day"), "statistic", "critical", digits=4)
+
+
+@query("mstl")
+def _(t):
+    hourly = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
+    return rounded(series.decomposed(hourly, ["event_type"], "value", "day", [7]), "trend", "season_7", "rest", digits=4)
+
+
+@query("markov_regimes")
+def _(t):
+    daily = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
+    return rounded(series.regimes(daily, ["event_type"], "value", "day"), "mean", "sd", "stay", digits=3)
+
+
+@query("factor_premia")
+def _(t):
+    p = panel(t).groupBy("entity", "time").agg(F.avg("total").alias("r"))
+    market = p.groupBy("time").agg(F.avg("r").alias("market"))
+    _, premia = series.factor_premia(p.join(market, "time"), "entity", "r", ["market"])
+    return rounded(t.spark.createDataFrame(premia), "coef", "se", "t", "r2", digits=3)
+
+
+@query("iv_gmm")
+def _(t):
+    d = _yx(t).withColumn("w", F.col("x") + 100 * F.col("z"))
+    return rounded(t.spark.createDataFrame(series.gmm(d, "y", [], ["x"], ["w", "z"])), "coef", "se", "z", "j", digits=3)

@@ -229,3 +229,36 @@ def test_geo():
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     assert geo.inside(0.5, 0.5, square) and not geo.inside(1.5, 0.5, square)
     assert math.isclose(geo.to_border(0.5, 0.2, square), 0.2)
+
+
+def test_series():
+    from grainmill.operators import series
+
+    w, p = series.shapiro(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
+    assert math.isclose(w, 0.79, abs_tol=0.005) and math.isclose(p, 0.007, abs_tol=0.002)  # the example of the paper
+    rng = np.random.default_rng(0)
+    steps = rng.normal(size=400)
+    assert series.dickey_fuller(steps)[0] < series.adf_critical(399) < series.dickey_fuller(np.cumsum(steps))[0]
+    t = np.arange(140)
+    trend, (season,), rest = series.decompose(0.1 * t + np.tile([0, 1, 2, 3, 2, 1, -9.0], 20), [7])
+    assert np.abs(rest[14:-14]).max() < 0.3 and np.allclose(trend + season + rest, 0.1 * t + np.tile([0, 1, 2, 3, 2, 1, -9.0], 20))
+    y = np.concatenate([rng.normal(0, 1, 200), rng.normal(8, 1, 200)])
+    mean, _, move, _ = series.switching(y)
+    assert np.allclose(mean, [0, 8], atol=0.3) and move[0, 0] > 0.95
+
+
+def test_gmm_and_premia(spark):
+    from grainmill.operators import series
+
+    rng = np.random.default_rng(1)
+    z, v = rng.normal(size=(2, 800))
+    x = z + v
+    y = 1 + 2 * x + v + rng.normal(size=800)
+    df = spark.createDataFrame([(float(a), float(b), float(c), float(c**2)) for a, b, c in zip(y, x, z, strict=True)], "y double, x double, z double, z2 double")
+    assert np.allclose(series.gmm(df, "y", [], ["x"], ["z", "z2"])["coef"], [1, 2], atol=0.15)
+    f = rng.normal(size=60)
+    rows = [(k, float(b * (0.5 + f[t]))) for k, b in enumerate((0.5, 1.0, 1.5, 2.0)) for t in range(60)]
+    rows = [(k, r, float(f[i % 60])) for i, (k, r) in enumerate(rows)]
+    loadings, premia = series.factor_premia(spark.createDataFrame(rows, "p int, r double, f double"), "p", "r", ["f"])
+    assert np.allclose(sorted(r.beta_f for r in loadings.collect()), [0.5, 1, 1.5, 2])
+    assert math.isclose(premia.set_index("term")["coef"]["beta_f"], 0.5 + f.mean(), rel_tol=1e-6)
