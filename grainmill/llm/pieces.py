@@ -29,7 +29,7 @@ from . import common, vec
 from .stats import HEAD
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 NONE = np.int32(2**31 - 1)
 SPACE_MARK = "▁"
 
