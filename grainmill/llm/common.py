@@ -61,14 +61,6 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote, after its last reader has ended."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(conf).delete(path, True)
-
-
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value written as text, mod n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

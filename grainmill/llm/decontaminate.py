@@ -125,8 +125,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, that share no window with the benchmark."""
-    bad = report(docs, benchmark).where("contaminated").select(F.col(common.ID).alias("_i"), F.col("th").alias("_t")).distinct()
-    return docs.join(bad, docs[common.ID].cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(docs[common.TEXT].cast("string")) == F.col("_t")), "left_anti")
+    bad = report(docs, benchmark).where("contaminated").select(F.col(common.ID).alias("_grainmill_i"), F.col("th").alias("_grainmill_t")).distinct()
+    return docs.join(bad, docs[common.ID].cast("long").eqNullSafe(F.col("_grainmill_i")) & (F.xxhash64(docs[common.TEXT].cast("string")) == F.col("_grainmill_t")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

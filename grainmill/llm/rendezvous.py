@@ -69,7 +69,7 @@ WITH tab AS (
 d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS x FROM documents),
 c AS (
   SELECT d.*, strlen(x) + 1 AS size,
-         xor(list_reduce(list_transform(range(1, 2 * strlen(x), 2), lambda i: ('0x' || substr(hex(encode(x)), i, 2))::BIGINT),
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: ('0x' || b)::BIGINT),
              lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS crc
   FROM d, tab),
 s AS (

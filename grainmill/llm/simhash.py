@@ -183,8 +183,8 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, whose id is their component's; rows without an id stay."""
-    gone = cluster(docs).where(F.col(common.ID) > F.col("component_id")).select(F.col(common.ID).alias("_i")).distinct()
-    return docs.join(gone, docs[common.ID].cast("long") == F.col("_i"), "left_anti")
+    gone = cluster(docs).where(F.col(common.ID) > F.col("component_id")).select(F.col(common.ID).alias("_grainmill_i")).distinct()
+    return docs.join(gone, docs[common.ID].cast("long") == F.col("_grainmill_i"), "left_anti")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

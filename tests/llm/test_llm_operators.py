@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
-import cases  # noqa: E402
+import llm_cases as cases  # noqa: E402
 
 from grainmill.llm import common, decontaminate, graph, merkle, pieces, quality, rendezvous, repeats, rules, simhash, substrings, suffixes, toxicity, vec  # noqa: E402
 

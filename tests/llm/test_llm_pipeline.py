@@ -8,7 +8,7 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
-import cases  # noqa: E402
+import llm_cases as cases  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from grainmill.llm import queries  # noqa: E402
