@@ -11,7 +11,7 @@ Two parts, used by the substring operators:
   their documents packed by document bucket. An item that repeats inside a task is settled there
   and sent once, so a frequent item costs a bucket one entry for each batch of texts, not one a row.
 
-Items are 96-bit hashes. Work that is lost with an executor is redone from the input.
+Items are hashes of 64 bits and some more, 88 or 96 in all. Work that is lost with an executor is redone from the input.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common, vec
 
 DEPTH, PAGES, MIN_BITS, MAX_BITS = 2, 64, 16, 29
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 SALT = [vec.U64(0x2545F4914F6CDD1D), vec.U64(0x9E6C63D0876A9A47)]
 
 
@@ -52,13 +52,17 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 class Sketch:
-    """For each row a bitmap of the cells that were counted twice or more."""
+    """For each row a bitmap of the cells that were counted twice or more; wrong is the chance that a single item is let through."""
 
-    def __init__(self, bits: int, pages: dict[int, bytes]):
-        self.bits, self.pages, self.rows = bits, pages, None
+    def __init__(self, bits: int, pages: dict[int, bytes], wrong: float):
+        self.bits, self.pages, self.wrong, self.rows = bits, pages, wrong, None
 
     def __getstate__(self) -> dict:
-        return {"bits": self.bits, "pages": self.pages, "rows": None}
+        return {"bits": self.bits, "pages": self.pages, "wrong": self.wrong, "rows": None}
+
+    def doubt(self, odds: float = 1e-18) -> int:
+        """So many items in a row are let through by mistake with these odds only."""
+        return int(min(1 << 40, max(4, np.ceil(np.log(odds) / np.log(np.clip(self.wrong, 1e-9, 1 - 1e-12))))))
 
     def maybe(self, h: np.ndarray) -> np.ndarray:
         """Indices of the items that may occur twice or more."""
@@ -76,10 +80,10 @@ class Sketch:
         return at
 
 
-def bits_for(docs: DataFrame, bytes_per_item: float) -> int:
+def bits_for(docs: DataFrame, bytes_per_item: float, most: int = MAX_BITS) -> int:
     """Four cells a row for each item that texts of this size hold, between the bounds."""
     size = docs.agg(F.sum(F.octet_length(common.TEXT))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(1.0, 4 * size / bytes_per_item))), MIN_BITS, MAX_BITS))
+    return int(np.clip(np.ceil(np.log2(max(1.0, 4 * size / bytes_per_item))), MIN_BITS, most))
 
 
 def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int) -> Sketch:
@@ -109,13 +113,13 @@ def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarra
         for batch in batches:
             for _, buf, offs in common.chunked(batch):
                 held.append(hashes(buf, offs))
-                if sum(map(len, held)) >= FLUSH:
+                if sum(map(len, held)) >= 2 * FLUSH:
                     yield from flush()
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen, twice = None, None, None
-        done = lambda: common.batch_of(page=pa.array([now], pa.int32()), bits=pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary()))
+        done = lambda: common.batch_of(page=pa.array([now], pa.int32()), bits=pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary()), used=pa.array([int(seen.sum())], pa.int64()))
         for batch in batches:
             for page, once, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if page != now:
@@ -131,8 +135,9 @@ def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarra
 
     n = min(DEPTH * PAGES, parts_of(rows))
     parts = rows.mapInArrow(count, "page int, once binary, more binary").repartition(n, "page").sortWithinPartitions("page")
-    pages = parts.mapInArrow(merge, "page int, bits binary").collect()
-    return Sketch(bits, {r.page: bytes(r.bits) for r in pages})
+    pages = parts.mapInArrow(merge, "page int, bits binary, used long").collect()
+    wrong = float(np.prod([sum(r.used for r in pages if r.page // PAGES == row) / (1 << bits) for row in range(DEPTH)]))
+    return Sketch(bits, {r.page: bytes(r.bits) for r in pages}, wrong)
 
 
 def parts_of(df: DataFrame) -> int:
@@ -152,32 +157,63 @@ def home(key: Column, n: int) -> Column:
 # ---- packed rows -------------------------------------------------------------------------------
 
 
-def pack_items(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, pos: np.ndarray) -> bytes:
-    keys, at = np.unique(key, return_inverse=True)
-    kind = np.uint16 if len(keys) <= 1 << 16 else np.uint32
-    head = np.array([len(h1), len(keys)], np.int64)
-    return b"".join(x.tobytes() for x in (head, keys, h1, h2, pos.astype(np.uint32), at.astype(kind)))
+def _low(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of each value."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _wide(data: bytes, at: int, n: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)
+    return out.view("<u8").ravel()
 
 
-def unpack_items(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, k = (int(x) for x in np.frombuffer(data, np.int64, 2))
-    keys = np.frombuffer(data, np.int64, k, 16)
-    at = 16 + 8 * k
-    h1, h2 = np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n)
-    pos = np.frombuffer(data, np.uint32, n, at + 12 * n)
-    local = np.frombuffer(data, np.uint16 if k <= 1 << 16 else np.uint32, n, at + 16 * n)
-    return h1, h2, keys[local], pos
+def _size(x: np.ndarray) -> int:
+    return max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+
+
+def pack_items(h1: np.ndarray, h2: np.ndarray, ask: np.ndarray, key: np.ndarray, pos: np.ndarray) -> bytes:
+    """Items in order of h1, which is kept as steps, and the key and place of those that ask.
+
+    Every column takes the bytes that its largest value needs.
+    """
+    keys, at = np.unique(key[ask], return_inverse=True)
+    step = np.diff(h1, prepend=np.uint64(0))
+    step[:1] = 0
+    cols = (step, h2, pos[ask].astype(np.uint64), at.astype(np.uint64))
+    sizes = [_size(c) for c in cols]
+    head = np.array([len(h1), len(at), len(keys), int(h1[0]) - (1 << 63) if len(h1) else 0, *sizes], np.int64)
+    return b"".join((head.tobytes(), keys.astype(np.int64).tobytes(), np.packbits(ask).tobytes(), *(_low(c, k) for c, k in zip(cols, sizes, strict=True))))
+
+
+def unpack_items(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m, k, first, *sizes = (int(x) for x in np.frombuffer(data, np.int64, 8))
+    keys = np.frombuffer(data, np.int64, k, 64)
+    at = 64 + 8 * k
+    ask = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    at, cols = at + (n + 7) // 8, []
+    for size, rows in zip(sizes, (n, n, m, m), strict=True):
+        cols.append(_wide(data, at, rows, size))
+        at += rows * size
+    step, h2, pos, local = cols
+    key, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    key[ask], place[ask] = keys[local.astype(np.int64)], pos.astype(np.int64)
+    return np.cumsum(step, dtype=np.uint64) + np.uint64(first + (1 << 63)), h2, ask, key, place
 
 
 def pack_places(key: np.ndarray, pos: np.ndarray) -> bytes:
-    """Sorted distinct places as runs (start, length) for each key."""
+    """Distinct places as runs (start, length) for each key."""
     order = np.lexsort((pos, key))
     key, pos = key[order], pos[order].astype(np.int64)
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + 1)))
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(key)) - 1
-    head = np.array([len(start)], np.int64)
-    return b"".join(x.tobytes() for x in (head, key[start], pos[start].astype(np.uint32), (pos[last] - pos[start] + 1).astype(np.uint32)))
+    return pack_runs(key[start], pos[start], pos[last] - pos[start] + 1)
+
+
+def pack_runs(key: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    head = np.array([len(key)], np.int64)
+    return b"".join(x.tobytes() for x in (head, key.astype(np.int64), start.astype(np.uint32), size.astype(np.uint32)))
 
 
 def unpack_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +233,7 @@ def _same(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([False], tie & (b[1:] == b[:-1])))
 
 
-def by_home(key: np.ndarray, pos: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+def by_home(key: np.ndarray, n: int, *cols: np.ndarray, pack: Callable[..., bytes] = pack_places) -> Iterator[tuple[int, bytes]]:
     """Places packed for each document bucket."""
     if not len(key):
         return
@@ -206,44 +242,64 @@ def by_home(key: np.ndarray, pos: np.ndarray, n: int) -> Iterator[tuple[int, byt
     cut = np.searchsorted(bucket[order], np.arange(n + 1))
     for k in np.flatnonzero(np.diff(cut)):
         at = order[cut[k] : cut[k + 1]]
-        yield int(k), pack_places(key[at], pos[at])
+        yield int(k), pack(key[at], *(c[at] for c in cols))
 
 
-Items = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # 64 bits, 32 bits, text in the chunk, place
+class Items:
+    """Items of a chunk: 64 bits and some more, and for those that ask whether they repeat their text's number and place.
+
+    The others only answer. runs (text, start, length) are places that need no answer.
+    """
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, text: np.ndarray, pos: np.ndarray, ask: np.ndarray | None = None, runs: tuple | None = None):
+        self.h1, self.h2, self.text, self.pos, self.runs = h1, h2, text, pos, runs
+        self.ask = np.ones(len(h1), bool) if ask is None else ask
 
 
 def exact(rows: DataFrame, items: Callable[[np.ndarray, np.ndarray], Items], n: int) -> DataFrame:
-    """(bucket, places): where the items of rows (id, key, text) that occur twice or more are.
+    """(bucket, places): where the items of rows (id, key, text) that ask and occur twice or more are, and the runs.
 
     n is the number of document buckets, and of hash buckets.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Items] = []
+        held: list[tuple] = []
+        runs: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            h1, h2, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if not len(h1):
-                return
-            order, same = _same(h1, h2)
-            many = same | np.append(same[1:], False)
-            out = [(False, b, p) for b, p in by_home(key[order[many]], pos[order[many]], n)]
-            one = order[~same]  # sorted by the first hash: a bucket is a range of its top bits
-            cut = np.searchsorted(h1[one], np.array([(k << 64) // n for k in range(1, n)], np.uint64))
-            for k, at in enumerate(np.split(one, cut)):
-                if len(at):
-                    out.append((True, k, pack_items(h1[at], h2[at], key[at], pos[at])))
+            out = []
+            if runs:
+                out += [(False, b, p) for b, p in by_home(*_runs(runs), pack=pack_runs)]
+                runs.clear()
+            if held:
+                h1, h2, ask, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order, same = _same(h1, h2)
+                many = np.zeros(len(h1), bool)
+                many[order[same | np.append(same[1:], False)]] = True
+                told = many & ask  # settled here
+                out += [(False, b, p) for b, p in by_home(key[told], n, pos[told])]
+                ask = ask & ~many
+                one = order[~same]  # sorted by the first hash: a bucket is a range of its top bits
+                cut = np.searchsorted(h1[one], np.array([(k << 64) // n for k in range(1, n)], np.uint64))
+                for k, at in enumerate(np.split(one, cut)):
+                    if len(at):
+                        out.append((True, k, pack_items(h1[at], h2[at], ask[at], key[at], pos[at])))
             for k in range(0, len(out), 64):
                 part = list(zip(*out[k : k + 64], strict=True))
                 yield common.batch_of(ask=pa.array(part[0]), bucket=pa.array(part[1], pa.int32()), data=pa.array(part[2], pa.binary()))
 
+        def _runs(runs: list[tuple]) -> tuple:
+            key, start, size = (np.concatenate(x) for x in zip(*runs, strict=True))
+            return key, n, start, size
+
         for batch in batches:
             for part, buf, offs in common.chunked(batch):
-                h1, h2, text, pos = items(buf, offs)
-                held.append((h1, h2, np.asarray(part.column(1))[text], pos))
+                found, keys = items(buf, offs), np.asarray(part.column(1))
+                if len(found.h1):
+                    held.append((found.h1, found.h2, found.ask, keys[found.text], found.pos))
+                if found.runs is not None and len(found.runs[0]):
+                    runs.append((keys[found.runs[0]], *found.runs[1:]))
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -253,10 +309,11 @@ def exact(rows: DataFrame, items: Callable[[np.ndarray, np.ndarray], Items], n:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:  # an item of one batch only is settled already
-                h1, h2, key, pos = (np.concatenate(x) for x in zip(*map(unpack_items, held), strict=True))
+                h1, h2, ask, key, pos = (np.concatenate(x) for x in zip(*map(unpack_items, held), strict=True))
                 order, same = _same(h1, h2)
                 many = order[same | np.append(same[1:], False)]
-                for b, p in by_home(key[many], pos[many], n):
+                many = many[ask[many]]
+                for b, p in by_home(key[many], n, pos[many]):
                     yield common.batch_of(bucket=pa.array([b], pa.int32()), places=pa.array([p], pa.binary()))
             held.clear()
 
@@ -275,41 +332,106 @@ def exact(rows: DataFrame, items: Callable[[np.ndarray, np.ndarray], Items], n:
     return sent.mapInArrow(settle, "bucket int, places binary")
 
 
-def applied(docs: DataFrame, places: DataFrame, n: int, each: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, dict[int, np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """each(rows, bytes, offsets, places) for chunks of rows (rest, key, text), with the places by key.
+BROADCAST_ROWS = 1_000_000
+
+
+def equal_texts(rows: DataFrame, size: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """What texts that are equal as wholes settle without their windows.
 
-    rest is a struct of the columns besides the text. Texts and the places found in them are dealt by
-    document bucket; a bucket's places come first and are held while its texts stream past.
+    (key, spare): the rows with an equal text elsewhere; all but one of a group are spare, as the one
+    stands for the text in every further step. (bucket, places): for texts of size units or more,
+    every start, since each window has its like in the copy. Only hashes and lengths are shuffled.
+    """
+    text = F.col(common.TEXT)
+    small = rows.select("key", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.octet_length(text).cast("long").alias("n"))
+    small = common.materialise(small, "texts")
+    groups = small.groupBy("t1", "t2", "n").agg(F.count("*").alias("c"), F.min("key").alias("rep")).where("c > 1 AND n IS NOT NULL")
+    members = common.materialise(small.join(groups, ["t1", "t2", "n"]).select("key", "n", (F.col("key") != F.col("rep")).alias("spare")).distinct(), "copies")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, length = (np.asarray(batch.column(k)) for k in (0, 1))
+            for b, p in by_home(key, n, np.zeros(len(key), np.int64), length - size + 1, pack=pack_runs):
+                yield common.batch_of(bucket=pa.array([b], pa.int32()), places=pa.array([p], pa.binary()))
+
+    return members.select("key", "spare"), members.where(F.col("n") >= size).select("key", "n").mapInArrow(whole, "bucket int, places binary")
+
+
+def beside(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """A left join on the key, by broadcast only where the small side was counted and is within bounds."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, "key", "left")
+
+
+Each = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, dict[int, np.ndarray]], pa.RecordBatch]
+
+
+def applied(docs: DataFrame, places: DataFrame, n: int, each: Each, schema: str, clean: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """each(rows, bytes, offsets, places) for chunks of rows (rest, key), with the places by key.
+
+    rest is a struct of the columns besides the text. Texts, compressed, and the places found in them
+    are dealt by document bucket; a bucket's places come first and are held while its texts stream
+    past. Texts that clean(bytes, offsets) is true for have no places: they are done where they are
+    read, unless known (key, spare) has their key.
     """
     rest = F.struct(*(docs[c] for c in docs.columns if c != common.TEXT))
     key = F.xxhash64(docs[common.ID].cast("long"), docs[common.TEXT].cast("string"))
-    rows = docs.select(home(key, n).alias("b"), F.lit(True).alias("is_doc"), rest.alias("rest"), key.alias("key"), docs[common.TEXT].cast("string").alias("t"), F.lit(None).cast("binary").alias("p"))
-    kind = rows.schema["rest"].dataType
-    found = places.select(F.col("bucket").alias("b"), F.lit(False).alias("is_doc"), F.lit(None).cast(kind).alias("rest"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("t"), F.col("places").alias("p"))
-    dealt = rows.union(found).repartition(parts_of(docs), "b").sortWithinPartitions("b", "is_doc").select("b", "is_doc", "rest", "key", "t", "p")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(rest.alias("rest"), key.alias("key"), docs[common.TEXT].cast("string").alias("t"))
+    rows = beside(rows, known) if known is not None else rows.withColumn("spare", F.lit(None).cast("boolean"))
+    rows = rows.select("rest", "key", "t", F.col("spare").isNotNull().alias("copy"))
+    kind = rows.schema["rest"].dataType.simpleString()
+
+    def sorted_out(done: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for part, buf, offs in common.chunked(batch, "t"):
+                    is_clean = clean(buf, offs) & ~np.asarray(part.column(3).cast(pa.uint8())).astype(bool) if clean else np.zeros(len(offs) - 1, bool)
+                    at = np.flatnonzero(is_clean if done else ~is_clean)
+                    if not len(at):
+                        continue
+                    some = part.take(pa.array(at))
+                    if done:
+                        yield each(some, *vec.flat(some.column(2)), {})
+                        continue
+                    raw = buf.tobytes()
+                    packed = pa.array([zlib.compress(raw[offs[i] : offs[i + 1]], 1) for i in at], pa.binary())
+                    null = some.column(2).is_null()
+                    home_ = pa.array((np.asarray(some.column(1)) % n).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([home_, pa.array(np.ones(len(at), bool)), some.column(0), some.column(1), packed, null], names=["b", "is_doc", "rest", "key", "p", "is_null"])
+
+        return run
+
+    texts = rows.mapInArrow(sorted_out(False), f"b int, is_doc boolean, rest {kind}, key long, p binary, is_null boolean")
+    found = places.select(F.col("bucket").alias("b"), F.lit(False).alias("is_doc"), F.lit(None).cast(kind).alias("rest"), F.lit(None).cast("long").alias("key"), F.col("places").alias("p"), F.lit(None).cast("boolean").alias("is_null"))
+    dealt = texts.union(found).repartition(parts_of(docs), "b").sortWithinPartitions("b", "is_doc")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, by_key = None, [], {}
         for batch in batches:
             bucket, is_doc = np.asarray(batch.column(0)), np.asarray(batch.column(1).cast(pa.uint8()))
-            edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (is_doc[1:] != is_doc[:-1]))))
+            edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (is_doc[1:] != is_doc[:-1])))) if len(bucket) else []
             for a, b in zip(edge, np.append(edge[1:], batch.num_rows), strict=True):
                 if bucket[a] != now:
                     now, held, by_key = bucket[a], [], {}
                 if not is_doc[a]:
-                    held += [unpack_places(x.as_py()) for x in batch.column(5).slice(a, b - a)]
+                    held += [unpack_places(x.as_py()) for x in batch.column(4).slice(a, b - a)]
                     continue
                 if held:
                     k, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
                     order = np.argsort(k, kind="stable")
                     cut = np.flatnonzero(np.diff(k[order])) + 1
-                    groups = np.split(order, cut)
-                    by_key, held = {int(k[g[0]]): np.stack((start[g], size[g])).astype(np.int64) for g in groups}, []
-                part = batch.slice(a, b - a)
-                for rows_, buf, offs in common.chunked(part, "t"):
-                    yield each(rows_, buf, offs, by_key)
-
-    return dealt.mapInArrow(run, schema)
+                    by_key, held = {int(k[g[0]]): np.stack((start[g], size[g])).astype(np.int64) for g in np.split(order, cut)}, []
+                for c in range(a, b, 512):
+                    part = batch.slice(c, min(512, b - c))
+                    texts = [None if empty else zlib.decompress(x.as_py()) for x, empty in zip(part.column(4), part.column(5).to_pylist(), strict=True)]
+                    column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+                    rows_ = pa.RecordBatch.from_arrays([part.column(2), part.column(3), column], names=["rest", "key", "t"])
+                    for some, buf, offs in common.chunked(rows_, "t"):
+                        yield each(some, buf, offs, by_key)
+
+    out = dealt.mapInArrow(meet, schema)
+    return out.union(rows.mapInArrow(sorted_out(True), schema)) if clean else out
 
 
 def covered(found: np.ndarray | None, size: int, n: int) -> np.ndarray:

@@ -47,14 +47,14 @@ def places(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, int]:
         some = shared.value.maybe(h1)
         h2 = vec.window_hashes(h, size, 1)[at[some]] if len(some) else np.zeros(0, np.uint64)
         text = np.searchsorted(first, at[some], side="right") - 1
-        return h1[some], (h2 >> vec.U64(32)).astype(np.uint32), text, at[some] - first[text]
+        return repeats.Items(h1[some], h2 >> vec.U64(32), text, at[some] - first[text])
 
     return repeats.exact(rows, items, n), n
 
 
 def _kept(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, by_key: dict[int, np.ndarray], size: int):
     """For each text its words, and which of them go."""
-    raw, keys = buf.tobytes(), rows.column(3).to_pylist()
+    raw, keys = buf.tobytes(), rows.column(1).to_pylist()
     for i, key in enumerate(keys):
         words = raw[offs[i] : offs[i + 1]].split()
         found = by_key.get(key)
@@ -72,7 +72,7 @@ def report(docs: DataFrame, size: int = SIZE) -> DataFrame:
             gone.append(0 if out is None else int(out.sum()))
             left = ws if out is None else [ws[k] for k in np.flatnonzero(~out).tolist()]
             sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
-        return common.batch_of(doc_id=rows.column(2).field(0), n_words=pa.array(words, pa.int64()), n_removed=pa.array(gone, pa.int64()), kept_sha256=pa.array(sha, pa.string()))
+        return common.batch_of(doc_id=rows.column(0).field(0), n_words=pa.array(words, pa.int64()), n_removed=pa.array(gone, pa.int64()), kept_sha256=pa.array(sha, pa.string()))
 
     return repeats.applied(common.id_text(docs), found, n, each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -82,11 +82,11 @@ def clean(docs: DataFrame, size: int = SIZE) -> DataFrame:
     found, n = places(docs, size)
 
     def each(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, by_key: dict[int, np.ndarray]) -> pa.RecordBatch:
-        texts = rows.column(4).to_pylist()
+        texts = rows.column(2).to_pylist()
         for i, (ws, out) in enumerate(_kept(rows, buf, offs, by_key, size)):
             if out is not None and out.any():
                 texts[i] = b" ".join([ws[k] for k in np.flatnonzero(~out).tolist()]).decode("utf-8", "replace")
-        return pa.RecordBatch.from_arrays([rows.column(2), pa.array(texts, pa.string())], names=["rest", "t"])
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string())], names=["rest", "t"])
 
     rest = docs.select(F.struct(*(docs[c] for c in docs.columns if c != common.TEXT)).alias("rest")).schema["rest"].dataType.simpleString()
     out = repeats.applied(docs, found, n, each, f"rest {rest}, t string")

@@ -7,8 +7,10 @@ samples' classes are counted (16 places in 181): a sample whose class has one me
 every suffix that would have to agree there. Only suffixes with a class of two or more in reach go on; they are
 dealt into buckets, and one bucket at a time is sorted and its ties are repeated strings. A tie is
 decided by the fixed-size ranks, never by comparing texts, so memory is bounded by a
-bucket whatever the length of the repeats. Ranks are 96-bit fingerprints of the prefix rather than
-places in the alphabet's order: ties are what dedup needs, and fingerprints deal evenly.
+bucket whatever the length of the repeats. Ranks are 88-bit fingerprints of the prefix rather than
+places in the alphabet's order: ties are what dedup needs, and fingerprints deal evenly. Before
+that, texts that are equal as wholes are settled by their hashes and one of each group stands for
+it, and a second sketch, of the candidates' own strings, drops most that agree for less than SIZE.
 
 Matches never cross documents; a repeat inside one document counts, overlapping or not. Strings are
 judged on the input. Null and short texts hold no string; rows that are equal in every column are
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from . import common, repeats, vec
 
 SIZE = 400
+BITS = 28  # two sketches are held at a time
 
 
 def difference_cover(r: int) -> tuple[int, list[int]]:
@@ -55,49 +58,102 @@ def _hashes(buf: np.ndarray, at: np.ndarray, size: int, which: int) -> np.ndarra
     return vec.mix((total[at + size] - total[at]) * vec.inverses(len(buf) + 1, which)[at])
 
 
-def places(docs: DataFrame) -> tuple[DataFrame, int]:
-    rows = repeats.keyed(docs)
-    n = 2 * repeats.parts_of(docs)
-    found = repeats.sketch(rows, lambda buf, offs: samples(buf, offs)[1], repeats.bits_for(rows, PERIOD / len(COVER)))
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+class Mixed:
+    """A sketch of mixed hashes, asked by the hashes themselves."""
+
+    def __init__(self, sketch):
+        self.sketch = sketch
+
+    @property
+    def value(self) -> Mixed:
+        return self
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        return self.sketch.value.maybe(vec.mix(h))
+
+
+class Finder:
+    """Candidate suffixes of a chunk of texts, by merged sketches that were broadcast."""
 
-    def items(buf: np.ndarray, offs: np.ndarray) -> repeats.Items:
+    def __init__(self, cover, strings=None):
+        self.cover, self.strings = cover, strings
+
+    def shared_samples(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, h = samples(buf, offs)
-        at = at[shared.value.maybe(h)]
-        # a string in reach of a sample starts at most PERIOD - 1 bytes before it
+        some = self.cover.value.maybe(h)
+        return at[some], h[some]
+
+    def candidates(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places that a sample of a class of two or more has in reach, and the ranks of their strings."""
+        at, _ = self.shared_samples(buf, offs)
         text = np.searchsorted(offs, at, side="right") - 1
-        low = np.maximum(at - (PERIOD - 1), offs[text])
+        low = np.maximum(at - (PERIOD - 1), offs[text])  # a string in reach of a sample starts at most PERIOD - 1 bytes before it
         edge = np.zeros(len(buf) + 1, np.int32)
         np.add.at(edge, low, 1)
         np.add.at(edge, at + 1, -1)
         at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         text = np.searchsorted(offs, at, side="right") - 1
-        fits = at + SIZE <= offs[text + 1]
-        at, text = at[fits], text[fits]
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), text, at
-        return _hashes(buf, at, SIZE, 0), (_hashes(buf, at, SIZE, 1) >> vec.U64(32)).astype(np.uint32), text, at - offs[text]
-
-    return repeats.exact(rows, items, n), n
+        at = at[at + SIZE <= offs[text + 1]]
+        return at, _hashes(buf, at, SIZE, 0) if len(at) else np.zeros(0, np.uint64)
+
+    def items(self, buf: np.ndarray, offs: np.ndarray) -> repeats.Items:
+        """Candidates that the second sketch lets through.
+
+        All of them answer. In a row of neighbours that are let through only the ends can be wrong
+        (more than doubt() mistakes in a row do not happen), and a mistake between two right ones
+        changes no byte, as strings are longer than the row of mistakes: so only the ends ask.
+        """
+        at, h = self.candidates(buf, offs)
+        some = self.strings.value.maybe(h)
+        at, h = at[some], h[some]
+        text = np.searchsorted(offs, at, side="right") - 1
+        more = _hashes(buf, at, SIZE, 1) >> vec.U64(40) if len(at) else h
+        margin = self.strings.value.doubt()
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])))) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(at)))
+        place = np.arange(len(at)) - np.repeat(first, size)
+        ask = (place < margin) | (place >= np.repeat(size, size) - margin) | (margin >= SIZE)
+        long = np.flatnonzero((size > 2 * margin) & (margin < SIZE))
+        start = first[long] + margin
+        runs = (text[start], at[start] - offs[text[start]], size[long] - 2 * margin)
+        return repeats.Items(h, more, text, at - offs[text], ask, runs)
+
+    def clean(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Which texts have no candidate."""
+        out = np.ones(len(offs) - 1, bool)
+        out[self.items(buf, offs).text] = False
+        return out
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
-    found, n = places(docs)
+    docs = common.id_text(docs)
+    n = 2 * repeats.parts_of(docs)
+    share = docs.sparkSession.sparkContext.broadcast
+    copies, whole = repeats.equal_texts(repeats.keyed(docs), SIZE, n)
+    rows = repeats.beside(repeats.keyed(docs), copies).where("spare IS NULL OR NOT spare").select(common.ID, "key", common.TEXT)
+    # a sample that is let through by mistake lets PERIOD places through: sketch what is let through once more
+    all_ = Finder(share(repeats.sketch(rows, lambda buf, offs: samples(buf, offs)[1], repeats.bits_for(docs, PERIOD / len(COVER), BITS))))
+    cover = share(repeats.sketch(rows, lambda buf, offs, f=all_: vec.mix(f.shared_samples(buf, offs)[1]), repeats.bits_for(docs, 2 * PERIOD / len(COVER), BITS)))
+    all_.cover.unpersist()
+    twice = Finder(Mixed(cover))
+    finder = Finder(Mixed(cover), share(repeats.sketch(rows, lambda buf, offs, f=twice: f.candidates(buf, offs)[1], repeats.bits_for(docs, 8.0, BITS))))
+    found = repeats.exact(rows, finder.items, n).union(whole)
 
     def each(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, by_key: dict[int, np.ndarray]) -> pa.RecordBatch:
         gone, spans, sha = [], [], []
-        for i, key in enumerate(rows.column(3).to_pylist()):
+        for i, key in enumerate(rows.column(1).to_pylist()):
             text, hit = buf[offs[i] : offs[i + 1]], by_key.get(key)
             out = repeats.covered(hit, SIZE, len(text)) if hit is not None else np.zeros(len(text), bool)
             gone.append(int(out.sum()))
             spans.append(len(vec.runs(out)[0]) if gone[-1] else 0)
             sha.append(hashlib.sha256((text[~out] if gone[-1] else text).tobytes()).hexdigest())
         return common.batch_of(
-            doc_id=rows.column(2).field(0), n_bytes=np.diff(offs), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept_sha256=pa.array(sha, pa.string()),
+            doc_id=rows.column(0).field(0), n_bytes=np.diff(offs), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept_sha256=pa.array(sha, pa.string()),
         )
 
-    return repeats.applied(common.id_text(docs), found, n, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return repeats.applied(docs, found, n, each, schema, finder.clean, copies)
 
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
