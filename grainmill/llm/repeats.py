@@ -113,7 +113,7 @@ def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarra
         for batch in batches:
             for _, buf, offs in common.chunked(batch):
                 held.append(hashes(buf, offs))
-                if sum(map(len, held)) >= 2 * FLUSH:
+                if sum(map(len, held)) >= 4 * FLUSH:  # more items at once stand closer together, so their distances need fewer bytes
                     yield from flush()
         yield from flush()
 
