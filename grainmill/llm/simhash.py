@@ -181,9 +181,9 @@ def cluster(docs: DataFrame) -> DataFrame:
     return prints.join(named, F.col("fp") == F.col("f")).select(common.ID, "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of docs, all their columns, whose id is their component's; rows without an id stay."""
-    gone = cluster(docs).where(F.col(common.ID) > F.col("component_id")).select(F.col(common.ID).alias("_grainmill_i")).distinct()
+    gone = (cluster(docs) if found is None else found).where(F.col(common.ID) > F.col("component_id")).select(F.col(common.ID).alias("_grainmill_i")).distinct()
     return docs.join(gone, docs[common.ID].cast("long") == F.col("_grainmill_i"), "left_anti")
 
 
