@@ -23,6 +23,11 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs[ID].cast("long").alias(ID), docs[TEXT].cast("string").alias(TEXT))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th, the text's hash."""
+    return id_text(docs).withColumn("th", F.xxhash64(TEXT))
+
+
 def map_texts(docs: DataFrame, schema: str, each: Callable[[pa.Array, pa.Array], Iterator[list]]) -> DataFrame:
     """each(ids, texts) gives lists of columns for one Arrow batch of (doc_id, text, ...)."""
 

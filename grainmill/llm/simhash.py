@@ -14,7 +14,7 @@ links those it gets to the least of them: work in proportion to the bucket, deal
 
 Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows get a row each.
 A component's id is its least doc_id; null ids are not counted unless there is no other. An empty
-table gives an empty result. Other columns are not read.
+table gives an empty result. Other columns are not read, except to choose among rows equal in id and text.
 """
 
 from __future__ import annotations
@@ -67,15 +67,18 @@ def majority(h: np.ndarray) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the fingerprint as a signed long. If hashed, th too, the text's hash."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in common.chunked(batch):
             raw = buf.tobytes()
             fps = np.array([majority(np.array(shingles(raw[offs[i] : offs[i + 1]]), np.uint64)) for i in range(len(offs) - 1)], np.uint64)
-            yield common.batch_of(doc_id=rows.column(0), fp=fps.view(np.int64))
+            more = {"th": rows.column(2)} if hashed else {}
+            yield common.batch_of(doc_id=rows.column(0), fp=fps.view(np.int64), **more)
 
+    if hashed:
+        return common.map_texts(common.hashed(docs), "doc_id long, fp long, th long", each)
     return common.map_texts(common.id_text(docs), "doc_id long, fp long", each)
 
 
@@ -181,10 +184,33 @@ def cluster(docs: DataFrame) -> DataFrame:
     return prints.join(named, F.col("fp") == F.col("f")).select(common.ID, "fp", "component_id")
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, root) for every row; rows with one root are a component."""
+    prints = common.materialise(fingerprints(docs, hashed=True), "fingerprints")
+    roots = graph.components(links(prints.select("fp").distinct()))
+    return prints.join(roots, F.col("fp") == F.col("node"), "left").select(common.ID, "th", F.coalesce("root", "fp").alias("root"))
+
+
 def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of docs, all their columns, whose id is their component's; rows without an id stay."""
-    gone = (cluster(docs) if found is None else found).where(F.col(common.ID) > F.col("component_id")).select(F.col(common.ID).alias("_grainmill_i")).distinct()
-    return docs.join(gone, docs[common.ID].cast("long") == F.col("_grainmill_i"), "left_anti")
+    """One row of each component, all its columns: the least by id (null ids last) and text hash.
+
+    found gives (doc_id, th, root) for every row of docs, or it is members(docs). Of rows that are
+    equal in id and text, the one with the least hash of all columns stays.
+    """
+    found = common.materialise(members(docs) if found is None else found, "members")
+    rows = found.groupBy("root", common.ID, "th").count()
+    least = F.min(F.struct(F.col(common.ID).isNull().alias("none"), F.col(common.ID).alias("i"), F.col("th").alias("t"))).alias("one")
+    rows = rows.join(found.groupBy("root").agg(least).select(F.col("root").alias("r"), "one.i", "one.t"), F.col("root") == F.col("r"))
+    stays = F.col(common.ID).eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
+    marks = rows.where(~stays | (F.col("count") > 1))
+    marks = common.materialise(marks.select(F.col(common.ID).alias("_grainmill_i"), F.col("th").alias("_grainmill_t"), stays.alias("_grainmill_s")), "marks")
+    same = docs[common.ID].cast("long").eqNullSafe(F.col("_grainmill_i")) & (F.xxhash64(docs[common.TEXT].cast("string")) == F.col("_grainmill_t"))
+    kept = docs.join(marks, same, "left_anti")
+    again = marks.where("_grainmill_s")
+    if not again.limit(1).count():
+        return kept
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_grainmill_o")
+    return kept.unionByName(docs.join(again, same, "left_semi").groupBy(common.ID, F.xxhash64(docs[common.TEXT].cast("string"))).agg(one).select("_grainmill_o.*"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

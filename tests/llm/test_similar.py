@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import llm_cases as cases  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from grainmill.llm import similar  # noqa: E402
+from grainmill.llm import simhash, similar  # noqa: E402
 
 
 def shingles(t):
@@ -74,3 +74,15 @@ def test_stage_joins_pairs_far_apart_in_bits(spark):
     assert any(bin(cases.fingerprint(t) ^ cases.fingerprint(dict(rows)[least[i]])).count("1") > 4 for i, t in rows)
     got = corpus_pipeline.near_duplicates(spark, cases.frame(spark, rows), "")
     assert {r.doc_id for r in got.collect()} == set(least.values())
+
+
+@pytest.mark.parametrize("way", ["stage", "simhash"])
+def test_one_row_of_a_component_stays(spark, way):
+    r = random.Random(5)
+    a, b, c, d, e = (" ".join(f"{x}{r.randint(0, 900)}" for _ in range(50)) for x in "abcde")
+    rows = [(1, a), (2, b), (2, b), (2, b), (3, b), (None, c), (None, c), (None, d), (9, d), (1, e), (None, None), (None, None)]
+    docs = cases.frame(spark, rows)
+    docs = docs.withColumn("n_chars", docs.n_chars + 1).unionByName(cases.frame(spark, [(2, b)]))  # equal but for a column
+    got = corpus_pipeline.near_duplicates(spark, docs, "") if way == "stage" else simhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (9, d), (1, e), (None, None)], key=str)
