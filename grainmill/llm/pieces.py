@@ -115,13 +115,14 @@ def _merge(v: Vocabulary, sym: np.ndarray, n: np.ndarray, salt: np.ndarray, drop
     """Merge the rows of a matrix of symbols (row i has n[i]); gives symbols, their starts and numbers."""
     rows, width = sym.shape
     begin = np.tile(np.arange(width + 1, dtype=np.int32), (rows, 1))
+    close = n.astype(np.uint64) + vec.U64(1)  # the unit's own end, whatever the width
 
     def ranked(r: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, into = lookup(v, sym[r, j], sym[r, j + 1])
         if drop:
             at = np.flatnonzero(rank != NONE)
             place = [begin[r[at], j[at] + d].astype(np.uint64) for d in range(3)]
-            place[2] = np.where(j[at] + 2 < n[r[at]], place[2], vec.U64(width + 1))
+            place[2] = np.where(j[at] + 2 < n[r[at]], place[2], close[r[at]])
             h = vec.mix(salt[r[at]] + place[0] * vec.U64(0x9E3779B97F4A7C15) + place[1] * vec.U64(0xC2B2AE3D27D4EB4F) + place[2] * vec.U64(0x165667B19E3779F9))
             rank[at[h < drop]] = NONE
         return rank, into
