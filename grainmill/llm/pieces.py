@@ -1,14 +1,14 @@
 """SentencePiece (BPE) encoding with seeded merge-dropout, and decoding.
 
 Encoding starts from characters and merges neighbours whose join is a piece, the best score first
-and then the leftmost, as an agenda would. With dropout a keyed hash of (seed, unit, start, split,
-end) skips each candidate merge with probability alpha: the segmentation varies with the seed and
-from one occurrence of a word to the next (variants), always by merges, and decodes to the same
-text. Alpha 0 gives the model's own segmentation.
+and then the leftmost, as an agenda would. With dropout a keyed hash of (seed, text's key, place, unit,
+start, split, end) skips each candidate merge with probability alpha: every occurrence of a word is
+drawn by itself, always by merges, and decodes to the same text. Alpha 0 gives the model's own
+segmentation.
 
 No piece holds a space after another character, so texts are cut into units (a run of spaces and
-what follows, cut again at characters that no merge uses); each distinct unit of a chunk is encoded
-once per variant, all units of a length together in numpy. Unknown characters become byte pieces. A literal
+what follows, cut again at characters that no merge uses); without dropout each distinct unit of a
+chunk is encoded once, with it each occurrence, all units of a length together in numpy. Unknown characters become byte pieces. A literal
 U+2581, which the model would read as a space, becomes bytes too, so decoding gives the text back.
 
 Null and empty texts have no pieces and decode to an empty text. Repeated rows with one id get the
@@ -29,7 +29,7 @@ from . import common, vec
 from .stats import HEAD
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 NONE = np.int32(2**31 - 1)
 SPACE_MARK = "▁"
 
@@ -153,7 +153,7 @@ def _merge(v: Vocabulary, sym: np.ndarray, n: np.ndarray, salt: np.ndarray, drop
     return sym, begin, n
 
 
-def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray | None = None, alpha: float = 0.0, seed: int = 0, variants: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray | None = None, alpha: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of a chunk of texts, joined, and their offsets; keys name the texts for dropout."""
     n_texts = len(offs) - 1
     if not len(buf):
@@ -188,7 +188,7 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray |
     if drop:
         names = keys[full] if keys is not None else full
         turn = first - starts[owner]
-        which = vec.mix(vec.mix(names.astype(np.int64).astype(np.uint64) + vec.U64(seed))[owner] + turn.astype(np.uint64)) % vec.U64(variants)
+        which = vec.mix(vec.mix(names.astype(np.int64).astype(np.uint64) + vec.U64(seed))[owner] + turn.astype(np.uint64))
         h = vec.mix(h + which * vec.U64(0xD6E8FEB86659FD93) + vec.U64(seed * 0x9FB21C651E98DF25 % (1 << 64)))
     unit, one, back = np.unique(h, return_index=True, return_inverse=True)
     a, size = first[one], (last - first)[one]
@@ -255,7 +255,7 @@ def decode(v: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
     return out, at - np.cumsum(gone)
 
 
-def encode_table(docs: DataFrame, path: str = MODEL, alpha: float = 0.1, seed: int = 20, variants: int = 4, with_ids: bool = True) -> DataFrame:
+def encode_table(docs: DataFrame, path: str = MODEL, alpha: float = 0.1, seed: int = 20, with_ids: bool = True) -> DataFrame:
     """doc_id, ids (unless with_ids is false), n_pieces, pieces_sha256, decoded_sha256, round_trip."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
@@ -265,7 +265,7 @@ def encode_table(docs: DataFrame, path: str = MODEL, alpha: float = 0.1, seed: i
         buf, offs = vec.flat(text)
         for a, b, part, own in vec.chunks(buf, offs, CHUNK):
             keys = batch.column(0).slice(a, b - a)
-            ids, ends = encode(v, part, own, np.asarray(keys.fill_null(0)), alpha, seed, variants)
+            ids, ends = encode(v, part, own, np.asarray(keys.fill_null(0)), alpha, seed)
             raw, at = decode(v, ids, ends)
             pieces, whole, same = [], [], []
             src = part.tobytes()

@@ -19,3 +19,10 @@ def test_a_long_unit_does_not_depend_on_its_chunk():
     for seed in range(30):
         alone = encoded(v, [word], alpha=0.5, seed=seed)
         assert alone[0] == encoded(v, [word, word + "s"], alpha=0.5, seed=seed)[0] == encoded(v, [word, "a b", word + "xx"], alpha=0.5, seed=seed)[0]
+
+
+def test_every_occurrence_is_drawn():
+    v = pieces.load()
+    ids = encoded(v, [" ".join(["internationalisation"] * 300)], alpha=0.3, seed=1)[0]
+    edge = [k for k, i in enumerate(ids) if v.flat[v.offs[i]] == 0x20] + [len(ids)]
+    assert len(edge) == 301 and len({tuple(ids[a:b]) for a, b in zip(edge, edge[1:], strict=False)}) > 4
