@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..errors import ArgumentValueError
 
 
@@ -19,11 +18,7 @@ def undirected(df: DataFrame, u: str, v: str, order: str) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.written(df, "graph")
 
 
 def spanning_tree(edges: DataFrame, u: str = "i", v: str = "j", weight: str = "weight") -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import distributions, reshape, select
 from ..sources import records, tables
 from ..streaming import pending
@@ -229,8 +228,7 @@ def _(t):
 
 
 def _scratch(t, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch.path(t.spark, name)
 
 
 @query("html_img_extract", r"""SELECT page_id, i - 1 AS pos, regexp_extract(src[i], '([^/]*)$', 1) AS file FROM (SELECT page_id, regexp_extract_all(html, '<img[^>]*src=["'']([^"'']*)["'']', 1) AS src FROM pages), unnest(range(1, len(src) + 1)) AS u(i)""")
