@@ -31,14 +31,28 @@ def train(df: DataFrame, text: str, label: str, kind: str = "bayes", features: i
     return Pipeline(stages=[HashingTF(inputCol="_t", outputCol="f", numFeatures=features, binary=kind == "bernoulli"), MODELS[kind]()]).fit(rows)
 
 
-def classify(df: DataFrame, key: str, text: str, label: str, kind: str = "bayes") -> DataFrame:
-    """(key, predicted, score): trained and applied on the labelled rows; score is the probability of the second class."""
-    out = train(df, text, label, kind).transform(bag(df, text))
+def classify(df: DataFrame, rows: DataFrame, key: str, text: str, label: str, kind: str = "bayes") -> DataFrame:
+    """(key, predicted, score) of rows, learned from df; score is the probability of the second class."""
+    out = train(df, text, label, kind).transform(bag(rows, text))
     return out.select(key, F.col("prediction").cast("int").alias("predicted"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 
 
-def naive_bayes(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    return classify(df, key, text, label, "bayes")
+def naive_bayes(train: DataFrame, rows: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(key, predicted, score) of rows by multinomial naive Bayes learned from train; score is the probability of class 1.
+
+    Term counts of the two classes are one aggregate, weights one row a term (Laplace's rule), and a
+    text's log odds one sum over its terms. Terms that train lacks say nothing.
+    """
+    terms = train.select(F.col(label).cast("int").alias("_y"), F.explode(text_ops.tokens(F.col(text))).alias("_w"))
+    counts = terms.groupBy("_w").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("_a"), F.count(F.when(F.col("_y") == 0, 1)).alias("_b"))
+    sums = counts.agg(F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb"), F.count("*").alias("_v"))
+    weights = counts.crossJoin(F.broadcast(sums)).select("_w", (F.log((F.col("_a") + 1) / (F.col("_sa") + F.col("_v"))) - F.log((F.col("_b") + 1) / (F.col("_sb") + F.col("_v")))).alias("_s"))
+    prior = train.agg(F.log(F.count(F.when(F.col(label) == 1, 1)) / F.count(F.when(F.col(label) == 0, 1))).alias("_p"))
+    found = rows.select(key, F.explode(text_ops.tokens(F.col(text))).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias("_n"))
+    odds = found.join(weights, "_w").groupBy(key).agg(F.sum(F.col("_n") * F.col("_s")).alias("_o"))
+    out = rows.select(key).join(odds, key, "left").crossJoin(F.broadcast(prior))
+    margin = F.coalesce("_o", F.lit(0.0)) + F.col("_p")
+    return out.select(key, (margin > 0).cast("int").alias("predicted"), (1 / (1 + F.exp(-F.greatest(F.least(margin, F.lit(500.0)), F.lit(-500.0))))).alias("score"))
 
 
 def accuracy(df: DataFrame, label: str, predicted: str = "predicted") -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentValueError
+from . import ordered
+
+#: The driver solves a dense eigenproblem of this many products at most (200 MB).
+MOST_PRODUCTS = 5000
 
 
 def advantage(cells: DataFrame, origin: str = "origin", product: str = "product", value: str = "value", name: str = "rca") -> DataFrame:
@@ -69,6 +73,9 @@ def complexity(present: DataFrame, origin: str = "origin", product: str = "produ
     d = pairs.groupBy(origin).agg(F.count("*").alias("d"))
     a, b = (pairs.select(origin, F.col(product).alias(x)) for x in "ij")
     joint = a.join(b, origin).join(d, origin).groupBy("i", "j").agg(F.sum(1 / F.col("d")).alias("s"))
+    n = pairs.select(product).distinct().count()
+    if n > MOST_PRODUCTS:
+        raise ArgumentValueError(f"{n} products; the driver solves for {MOST_PRODUCTS} at most")
     rows = joint.toPandas()
     names = sorted(set(rows["i"]))
     if len(names) < 2:
@@ -102,13 +109,15 @@ def at_least(df: DataFrame, keys: list[str], value: str, n: float = 5) -> DataFr
 def basket(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, sample deviation, extremes, median and range of a basket's scores."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("range"))
+    mid = ordered.quantiles(df, value, [0.5], keys, "_q").select(*keys, F.col("_q")[0].alias("median"))
+    rest = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"))
+    return rest.join(mid, list(keys)) if keys else rest.join(F.broadcast(mid), F.lit(True), "left")
 
 
 def nearest_to_quantiles(df: DataFrame, key: str, value: str, quantiles: list[float]) -> DataFrame:
     """For each quantile the row nearest to it; ties by key."""
-    q = df.agg(*(F.percentile(value, F.lit(x)).alias(f"q{i}") for i, x in enumerate(quantiles)))
-    at = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("quantile"), F.col(f"q{i}").alias("edge")) for i, x in enumerate(quantiles))))
+    q = ordered.quantiles(df, value, quantiles, name="_q")
+    at = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("quantile"), F.col("_q")[i].alias("edge")) for i, x in enumerate(quantiles))))
     edges_ = F.broadcast(q.select(at.alias("e")).select("e.*"))
     near = df.crossJoin(edges_).groupBy("quantile").agg(F.min(F.struct(F.abs(F.col(value) - F.col("edge")).alias("gap"), F.col(key).alias(key), F.col(value).alias(value))).alias("b"))
     return near.select("quantile", f"b.{key}", f"b.{value}")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def histogram(df: DataFrame, column: str, bins: int, density: bool = False, weight: str | None = None) -> DataFrame:
     """(bin, n): left-closed bins of one width, the last closed on both sides; density integrates to 1."""
@@ -40,8 +42,8 @@ def kde(df: DataFrame, column: str, points: int, cut: float = 3.0) -> DataFrame:
 
 def box(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, and the number of outliers."""
-    q = df.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    wide = df.join(F.broadcast(q), list(keys))
+    q = ordered.quantiles(df, column, [0.25, 0.5, 0.75], keys, "_q")
+    wide = df.join(q, list(keys))
     iqr = F.col("_q")[2] - F.col("_q")[0]
     ok = F.col(column).between(F.col("_q")[0] - 1.5 * iqr, F.col("_q")[2] + 1.5 * iqr)
     first = lambda i: F.first(F.col("_q")[i])
@@ -62,10 +64,12 @@ def mean_error(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """N, mean, deviation, extremes, median, and the bias-corrected kurtosis and skewness."""
     n, g1, g2 = F.count(column).cast("double"), F.skewness(column), F.kurtosis(column)
-    return df.agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.median(column).alias("median"), F.max(column).alias("max"),
+    rest = df.agg(
+        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"),
         ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"), (g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
     )
+    mid = ordered.quantiles(df, column, [0.5], name="_q").select(F.col("_q")[0].alias("median"))
+    return rest.join(F.broadcast(mid), F.lit(True), "left")
 
 
 def binned_sum(df: DataFrame, column: str, value: str, width: float) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
 from ..errors import ArgumentValueError
+from . import ordered
 
 
 def undirected(df: DataFrame, u: str, v: str, order: str) -> DataFrame:
@@ -70,7 +71,7 @@ def tree_with_extras(edges: DataFrame, n_extra: int = 0, threshold: float | None
 
 def by_interval(df: DataFrame, value: str, intervals: DataFrame) -> DataFrame:
     """The row of a small table (left, right, ...) whose [left, right) holds the value."""
-    return df.join(F.broadcast(intervals), (F.col(value) >= F.col("left")) & (F.col(value) < F.col("right")), "left")
+    return df.join(ordered.small(intervals), (F.col(value) >= F.col("left")) & (F.col(value) < F.col("right")), "left")
 
 
 def with_attributes(nodes: DataFrame, attributes: DataFrame, key: str, must_have: str | None = None) -> DataFrame:
@@ -82,8 +83,19 @@ def with_attributes(nodes: DataFrame, attributes: DataFrame, key: str, must_have
 
 
 def split_evenly(df: DataFrame, key: str, parts: int, seed: int = 0) -> DataFrame:
-    """Deal keys at random into parts whose sizes differ by one at most."""
-    return df.select(key, F.ntile(parts).over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)).alias("part"))
+    """Deal keys at random into parts whose sizes differ by one at most, the first ones being the larger."""
+    rows = ordered.ranked(df.select(key, F.xxhash64(F.lit(seed), key).alias("_h")), "_h", "first", name="_p", tie=key)
+    rows = rows.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+    q, r, p = F.floor(F.col("_n") / parts), F.col("_n") % parts, F.col("_p") - 1
+    return rows.select(key, (1 + F.when(p < r * (q + 1), F.floor(p / (q + 1))).otherwise(r + F.floor((p - r * (q + 1)) / F.greatest(q, F.lit(1))))).cast("int").alias("part"))
+
+
+def is_symmetric(edges: DataFrame, u: str = "i", v: str = "j", weight: str = "weight", rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """(ok): whether each entry of a long matrix has its like across the diagonal, within tolerances."""
+    turned = edges.select(F.col(v).alias(u), F.col(u).alias(v), F.col(weight).alias("_w"))
+    near = F.abs(F.col(weight) - F.col("_w")) <= atol + rtol * F.abs(F.col("_w"))
+    odd = edges.select(u, v, weight).join(turned, [u, v], "full").where(~F.coalesce(near, F.lit(False)))
+    return odd.agg((F.count("*") == 0).alias("ok"))
 
 
 def _ends(edges: DataFrame, member: DataFrame) -> DataFrame:

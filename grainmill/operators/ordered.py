@@ -8,6 +8,8 @@ use every core and spill like any other window.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,35 @@ def value_positions(df: DataFrame, column: str, parts: int = 32) -> DataFrame:
     )
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it was counted and is within bounds; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
+    """(by, name): an array of the exact, linearly interpolated quantiles of each group, or of the whole table as one row.
+
+    Values are counted before they are shuffled and ranked by a window that spills (over a whole table by
+    ranges), so no buffer holds a group's values. Nulls are left out; a group without values has null quantiles.
+    """
+    value = F.col(column).cast("double")
+    if by:
+        counts = df.groupBy(*by, value.alias("_v")).agg(F.sum(F.when(value.isNotNull(), 1).otherwise(0)).alias("_m"))
+        w = Window.partitionBy(*by).orderBy("_v")
+        rows = counts.withColumns({"_top": F.sum("_m").over(w), "_n": F.sum("_m").over(Window.partitionBy(*by))}).where("_v IS NOT NULL OR _n = 0")
+    else:
+        place = value_positions(df.select(value.alias("_v")), "_v")
+        rows = place.select(F.col("value").alias("_v"), (F.col("before") + F.col("n")).alias("_top")).crossJoin(F.broadcast(place.agg(F.sum("n").alias("_n"))))
+
+    def one(p: float, up: bool) -> Column:
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        return F.min(F.when(F.col("_top") > (F.ceil(at) if up else F.floor(at)), F.col("_v")))
+
+    ends = [F.struct(one(p, False).alias("a"), one(p, True).alias("b"), F.max(F.lit(float(p)) * (F.col("_n") - 1) % 1).alias("f")) for p in points]
+    found = rows.groupBy(*by).agg(F.array(*ends).alias("_e"))
+    return found.select(*by, F.transform("_e", lambda e: e["a"] + (e["b"] - e["a"]) * e["f"]).alias(name))
+
+
 def ranked(df: DataFrame, column: str, method: str = "average", ascending: bool = True, name: str = "rank", tie: str | None = None) -> DataFrame:
     """Rank a whole table by a numeric column: average, min, max, dense, or first (ties by another column). Nulls stay null."""
     source = df if ascending else df.withColumn("_neg", -F.col(column))

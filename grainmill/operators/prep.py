@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentValueError
+from . import ordered
 from .select import checked
 
 
@@ -110,8 +111,8 @@ def quantile_bins(df: DataFrame, column: str, q: int, by: Sequence[str] = (), na
     """
     if q < 2:
         raise ArgumentValueError("at least two quantiles")
-    edges = F.percentile(column, F.array(*(F.lit(i / q) for i in range(1, q)))).alias("_e")
-    wide = df.join(F.broadcast(df.groupBy(*by).agg(edges)), list(by)) if by else _with_row(df, edges)
+    edges = ordered.quantiles(df, column, [i / q for i in range(1, q)], by, "_e")
+    wide = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))
     bin_ = F.size(F.filter("_e", lambda e: F.col(column) > e)) + 1
     return wide.withColumn(name, F.when(F.col(column).isNotNull(), bin_)).drop("_e")
 

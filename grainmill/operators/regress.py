@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,31 @@ def moments(df: DataFrame, columns: Sequence[str], intercept: bool = True) -> tu
     return row["n"], m, names
 
 
+def centred_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, matrix of summed products about the means) of complete rows, from one aggregate that centres as it adds."""
+    full = df.dropna(subset=list(columns)).select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    row = full.agg(F.count("*").alias("n"), *(F.avg(f"c{i}").alias(f"a{i}") for i in range(len(columns))), *(F.covar_pop(f"c{i}", f"c{j}").alias(f"m{k}") for k, (i, j) in enumerate(pairs))).first()
+    s = np.zeros((len(columns), len(columns)))
+    for k, (i, j) in enumerate(pairs):
+        s[i, j] = s[j, i] = (row[f"m{k}"] or 0.0) * row["n"]
+    return row["n"], np.array([row[f"a{i}"] or 0.0 for i in range(len(columns))]), s
+
+
 def ols(df: DataFrame, y: str, xs: Sequence[str], intercept: bool = True) -> pd.DataFrame:
     """One row a regressor: coefficient, standard error, t, and the model's R2 and rows."""
-    n, m, names = moments(df, [*sorted(xs), y], intercept)
-    a, b, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-    inv = np.linalg.inv(a)
-    beta = inv @ b
-    rss = yy - beta @ b
-    tss = yy - (m[0, -1] ** 2 / n if intercept else 0.0)
+    if intercept:
+        n, mean, s = centred_moments(df, [*sorted(xs), y])
+        names, part = ["const", *sorted(xs), y], np.linalg.inv(s[:-1, :-1])
+        slope, tss = part @ s[:-1, -1], s[-1, -1]
+        beta, rss = np.concatenate(([mean[-1] - slope @ mean[:-1]], slope)), tss - slope @ s[:-1, -1]
+        side = -part @ mean[:-1]
+        inv = np.block([[np.array([[1 / n + mean[:-1] @ part @ mean[:-1]]]), side[None, :]], [side[:, None], part]])
+    else:
+        n, m, names = moments(df, [*sorted(xs), y], False)
+        inv, tss = np.linalg.inv(m[:-1, :-1]), m[-1, -1]
+        beta = inv @ m[:-1, -1]
+        rss = tss - beta @ m[:-1, -1]
     se = np.sqrt(np.maximum(rss, 0) / (n - len(beta)) * np.diag(inv))
     return pd.DataFrame({"term": names[:-1], "coef": beta, "se": se, "t": beta / se, "r2": 1 - rss / tss, "n": n})
 
@@ -148,22 +166,17 @@ def white(df: DataFrame, y: str, x: str) -> pd.DataFrame:
 
 def vif(df: DataFrame, xs: Sequence[str], threshold: float = 5.0) -> pd.DataFrame:
     """Diagonal of the inverse correlation matrix."""
-    n, m, names = moments(df, sorted(xs))
-    mean = m[0, 1:] / n
-    cov = m[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.diag(cov))
-    v = np.diag(np.linalg.inv(cov / np.outer(sd, sd)))
-    return pd.DataFrame({"term": names[1:], "vif": v, "verdict": np.where(v <= threshold, "Accept", "Reject")})
+    _, _, s = centred_moments(df, sorted(xs))
+    sd = np.sqrt(np.diag(s))
+    v = np.diag(np.linalg.inv(s / np.outer(sd, sd)))
+    return pd.DataFrame({"term": sorted(xs), "vif": v, "verdict": np.where(v <= threshold, "Accept", "Reject")})
 
 
 def rolling(df: DataFrame, y: str, x: str, by: Sequence[str], order: Sequence[str], window: int = 30, least: int | None = None) -> DataFrame:
-    """Slope and intercept over the last rows of each series, by windowed sums."""
+    """Slope and intercept over the last rows of each series; the windowed aggregates centre what they add up."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1), 0)
-    n, sx, sy = F.count(x).over(w), F.sum(x).over(w), F.sum(y).over(w)
-    sxx, sxy = F.sum(F.col(x) * F.col(x)).over(w), F.sum(F.col(x) * F.col(y)).over(w)
-    slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
-    ok = n >= (window if least is None else least)
-    return df.withColumn("slope", F.when(ok, slope)).withColumn("intercept", F.when(ok, F.try_divide(sy - F.col("slope") * sx, n)))
+    ok = F.count(x).over(w) >= (window if least is None else least)
+    return df.withColumn("slope", F.when(ok, F.regr_slope(y, x).over(w))).withColumn("intercept", F.when(ok, F.regr_intercept(y, x).over(w)))
 
 
 def chi2_tail(x: float, k: int) -> float:
@@ -203,7 +216,21 @@ def quantile_fit(X: np.ndarray, y: np.ndarray, q: float, iterations: int = 200)
         if np.abs(new - beta).max() < 1e-8:
             break
         beta = new
-    return beta
+    return _vertex(X, y, q, beta)
+
+
+def _vertex(X: np.ndarray, y: np.ndarray, q: float, beta: np.ndarray) -> np.ndarray:
+    """The best fit through as many points as there are terms, of the points nearest to beta's: an optimum is one of these."""
+    loss = lambda b: float(np.sum((y - X @ b) * (q - (y - X @ b < 0))))
+    near = np.argsort(np.abs(y - X @ beta), kind="stable")[: X.shape[1] + 6]
+    best, low = beta, np.inf
+    for at in combinations(near.tolist(), X.shape[1]):
+        part = X[list(at)]
+        if abs(np.linalg.det(part)) > 1e-12 * np.prod(np.linalg.norm(part, axis=1)):
+            b = np.linalg.solve(part, y[list(at)])
+            if loss(b) < low:
+                best, low = b, loss(b)
+    return best if low <= loss(beta) * (1 + 1e-9) else beta
 
 
 def huber_fit(X: np.ndarray, y: np.ndarray, t: float = 1.345, iterations: int = 100) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentValueError
+from . import ordered
 from .select import checked
 
 AGGREGATES = {
@@ -69,7 +70,7 @@ def dense_grid(df: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
     The grid has as many rows as the matrix has cells, which is the result that is asked for.
     """
     cells = df.groupBy(rows, columns).agg(F.sum(value).alias(value))
-    keys = F.broadcast(df.select(columns).where(F.col(columns).isNotNull()).distinct())
+    keys = ordered.small(df.select(columns).where(F.col(columns).isNotNull()).distinct())
     grid = df.select(rows).where(F.col(rows).isNotNull()).distinct().join(keys, F.lit(True))
     return grid.join(cells, [rows, columns], "left").fillna(0.0, [value])
 
@@ -89,4 +90,5 @@ def sorted_blocks(df: DataFrame, block: str, by: str, tie: str, descending: bool
 
 
 def mean_and_quartiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"))
+    q = ordered.quantiles(df, value, [0.25, 0.75], keys, "_q").select(*keys, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q75"))
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(q, list(keys))

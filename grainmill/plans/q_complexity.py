@@ -85,7 +85,10 @@ def _(t):
     return graph.undirected(two, "u", "v", "w")
 
 
-@query("max_spanning_tree")
+@query("max_spanning_tree", f"""WITH RECURSIVE n AS {NEAR}, e AS (SELECT DISTINCT least(i, j) AS u, greatest(i, j) AS v, weight AS w FROM n WHERE weight > 0),
+  r AS (SELECT u AS u0, v AS v0, w AS w0, u AS node FROM e UNION
+  SELECT u0, v0, w0, CASE WHEN e.u = r.node THEN e.v ELSE e.u END FROM r JOIN e ON (e.u = r.node OR e.v = r.node) AND (e.w > w0 OR (e.w = w0 AND (e.u < u0 OR (e.u = u0 AND e.v < v0)))))
+  SELECT u AS i, v AS j, round(w, 6) AS weight FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE u0 = u AND v0 = v AND node = v)""")
 def _(t):
     return rounded(graph.spanning_tree(complexity.edges(near(t))), "weight")
 

@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, distributions, prep, regress, series
-from .base import PANEL, panel, query, rounded
+from ..operators import clusters, distributions, graph, prep, regress, series
+from .base import NEAR, PANEL, near, panel, query, rounded
+
+#: Two instruments w and v for x, and what the projections on them need.
+_IV = """m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * n AS sxx, covar_pop(x, y) * n AS sxy, var_pop(y) * n AS syy, var_pop(w) * n AS sww, var_pop(v) * n AS svv,
+  covar_pop(w, v) * n AS swv, covar_pop(w, x) * n AS swx, covar_pop(v, x) * n AS svx, covar_pop(w, y) * n AS swy, covar_pop(v, y) * n AS svy FROM (SELECT l_extendedprice AS y, l_quantity AS x,
+  l_quantity + 100 * l_discount + l_tax * l_linenumber AS w, l_quantity * l_tax AS v FROM lineitem)),
+  p AS (SELECT *, sww * svv - swv * swv AS det, (svv * swx - swv * svx) / det AS aw, (sww * svx - swv * swx) / det AS av, aw * swx + av * svx AS pxx, aw * swy + av * svy AS pxy,
+  (svv * swy * swy - 2 * swv * swy * svy + sww * svy * svy) / det AS pyy FROM m)"""
+_IV_ROWS = """f AS (SELECT *, (1 - k) * sxx + k * pxx AS a, ((1 - k) * sxy + k * pxy) / a AS b, (syy - 2 * b * sxy + b * b * sxx) / (n - 2) AS s2 FROM k),
+  r AS (SELECT 'const' AS term, my - b * mx AS coef, sqrt(s2 * (1.0 / n + mx * mx / a)) AS se, n FROM f UNION ALL SELECT 'x', b, sqrt(s2 / a), n FROM f)
+  SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(coef / se, 3) AS t, n FROM r"""
+
+
+def _iv(t):
+    x, tax = F.col("l_quantity"), F.col("l_tax")
+    return t.lineitem.select(F.col("l_extendedprice").alias("y"), x.alias("x"), (x + 100 * F.col("l_discount") + tax * F.col("l_linenumber")).alias("w"), (x * tax).alias("v"))
+
 
 _YX = "(SELECT l_extendedprice AS y, l_quantity AS x, l_discount AS z FROM lineitem)"
 
@@ -62,7 +78,7 @@ def _(t):
 
 @query("r_squared", f"SELECT round(pow(corr(y, x), 2), 9) AS r2 FROM {_YX}")
 def _(t):
-    return _yx(t).agg(F.round(F.pow(F.corr("y", "x"), F.lit(2)), 9).alias("r2"))
+    return rounded(regress.simple(_yx(t), "y", "x").select("r2"), "r2", digits=9)
 
 
 @query("confidence_ellipse", "SELECT l_returnflag, round(avg(l_quantity), 6) AS cx, round(avg(l_extendedprice), 4) AS cy, round(corr(l_quantity, l_extendedprice), 6) AS r, round(sqrt(1 + corr(l_quantity, l_extendedprice)), 6) AS rx, round(sqrt(1 - corr(l_quantity, l_extendedprice)), 6) AS ry, round(1.96 * stddev_samp(l_quantity), 6) AS sx, round(1.96 * stddev_samp(l_extendedprice), 4) AS sy FROM lineitem GROUP BY l_returnflag")
@@ -122,23 +138,25 @@ def _(t):
     return rounded(clusters.silhouette(p, "k", "c", "v"), "silhouette")
 
 
-@query("elbow", "SELECT k, inertia - lag(inertia) OVER (ORDER BY k) AS step FROM (SELECT n_regionkey AS k, sum(n_nationkey)::BIGINT AS inertia FROM nation GROUP BY n_regionkey)")
+@query("elbow", """WITH p AS (SELECT k, vec_id % k AS c, i, embedding[i]::DOUBLE AS x FROM embeddings, range(2, 9) AS a(k), unnest(range(1, len(embedding) + 1)) AS u(i)),
+  s AS (SELECT k, sum(v) AS inertia FROM (SELECT k, c, i, var_pop(x) * count(*) AS v FROM p GROUP BY ALL) GROUP BY k),
+  d AS (SELECT *, lead(inertia) OVER (ORDER BY k) - inertia AS step FROM s), r AS (SELECT *, lead(step) OVER (ORDER BY k) / step AS ratio FROM d)
+  SELECT k::INT AS k, round(inertia, 4) AS inertia, coalesce(k = (SELECT min(k) FROM r WHERE ratio < (SELECT avg(ratio) FROM r)), false) AS elbow FROM r""")
 def _(t):
-    from pyspark.sql import Window
-
-    i = t.nation.groupBy(F.col("n_regionkey").alias("k")).agg(F.sum("n_nationkey").alias("inertia"))
-    return i.select("k", (F.col("inertia") - F.lag("inertia").over(Window.orderBy("k"))).alias("step"))
+    tried = t.embeddings.select("vec_id", "embedding", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("k")).withColumn("c", F.col("vec_id") % F.col("k"))
+    curve = clusters.inertia(tried, ["k", "c"], "embedding").groupBy("k").agg(F.sum("inertia").alias("inertia"))
+    return rounded(clusters.elbow(curve).select("k", "inertia", "elbow"), "inertia", digits=4)
 
 
 @query("kmeans")
 def _(t):
     _, rows = clusters.kmeans(t.embeddings, "embedding", 8)
-    return rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    return rows.select("vec_id", "cluster")
 
 
 @query("ncluster_search")
 def _(t):
-    return rounded(clusters.search_k(t.embeddings, "embedding", 6), "inertia", digits=3)
+    return rounded(rounded(clusters.search_k(t.embeddings, "vec_id", "embedding", 6, n_init=3), "inertia", digits=3), "score")
 
 
 @query("agglomerative")
@@ -155,7 +173,12 @@ def _(t):
     return rounded(rounded(rounded(regress.simple(_yx(t), "y", "x"), "slope", digits=5), "intercept", digits=4), "r2")
 
 
-@query("ols_multi")
+@query("ols_multi", f"""WITH m AS (SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) * n AS sxx, var_pop(z) * n AS szz, covar_pop(x, z) * n AS sxz,
+  covar_pop(x, y) * n AS sxy, covar_pop(z, y) * n AS szy, var_pop(y) * n AS syy FROM {_YX}),
+  b AS (SELECT *, sxx * szz - sxz * sxz AS det, (sxy * szz - szy * sxz) / det AS bx, (szy * sxx - sxy * sxz) / det AS bz, syy - bx * sxy - bz * szy AS rss, rss / (n - 3) AS s2 FROM m),
+  r AS (SELECT 'const' AS term, my - bx * mx - bz * mz AS coef, sqrt(s2 * (1.0 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / det)) AS se, 1 - rss / syy AS r2, n FROM b
+  UNION ALL SELECT 'x', bx, sqrt(s2 * szz / det), 1 - rss / syy, n FROM b UNION ALL SELECT 'z', bz, sqrt(s2 * sxx / det), 1 - rss / syy, n FROM b)
+  SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(coef / se, 4) AS t, round(r2, 4) AS r2, n FROM r""")
 def _(t):
     return rounded(t.spark.createDataFrame(regress.ols(_yx(t), "y", ["x", "z"])), "coef", "se", "t", "r2", digits=4)
 
@@ -176,7 +199,15 @@ def _(t):
     return rounded(regress.first_difference(p, "total", "n", "entity", "time"), "slope", digits=4)
 
 
-@query("panel_re")
+@query("panel_re", f"""WITH p AS (SELECT entity, sum(total) AS y, sum(n) AS x FROM {PANEL} GROUP BY entity, time), g AS (SELECT entity, count(*) AS t, avg(y) AS my, avg(x) AS mx FROM p GROUP BY entity),
+  w AS (SELECT sum(yd * xd) / sum(xd * xd) AS s, sum(yd * yd) - sum(yd * xd) * sum(yd * xd) / sum(xd * xd) AS e2, count(*) AS n FROM (SELECT y - my AS yd, x - mx AS xd FROM p JOIN g USING (entity))),
+  u AS (SELECT count(*) AS k, avg(t) AS t, count(*) / sum(1.0 / t) AS th, regr_syy(my, mx) - regr_sxy(my, mx) * regr_sxy(my, mx) / regr_sxx(my, mx) AS u2 FROM g),
+  v AS (SELECT t, e2 / (n - k - 1) AS se, greatest(0.0, u2 / (k - 2) - se / th) AS su, 1 - sqrt(se / (se + t * su)) AS theta FROM w, u),
+  q AS (SELECT 1 - theta AS o, x - theta * mx AS x, y - theta * my AS y, theta FROM p JOIN g USING (entity), v),
+  m AS (SELECT count(*) AS n, any_value(theta) AS theta, sum(o * o) AS oo, sum(o * x) AS ox, sum(x * x) AS xx, sum(o * y) AS oy, sum(x * y) AS xy, sum(y * y) AS yy, oo * xx - ox * ox AS d,
+  (oy * xx - xy * ox) / d AS bo, (xy * oo - oy * ox) / d AS bx, yy - bo * oy - bx * xy AS rss, rss / (n - 2) AS s2 FROM q),
+  r AS (SELECT 'const' AS term, bo AS coef, sqrt(s2 * xx / d) AS se, * FROM m UNION ALL SELECT 'n', bx, sqrt(s2 * oo / d), * FROM m)
+  SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(coef / se, 3) AS t, round(1 - rss / yy, 3) AS r2, n, round(theta, 3) AS theta FROM r""")
 def _(t):
     return rounded(t.spark.createDataFrame(regress.random_effects(panel(t).groupBy("entity", "time").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), "total", "n", "entity")), "coef", "se", "t", "r2", "theta", digits=3)
 
@@ -186,16 +217,15 @@ def _(t):
     return rounded(regress.iv_simple(_yx(t).withColumn("z", F.col("x") + 100 * F.col("z")), "y", "x", "z"), "slope", digits=3)
 
 
-@query("iv_2sls")
+@query("iv_2sls", f"WITH {_IV}, k AS (SELECT *, 1.0::DOUBLE AS k FROM p), {_IV_ROWS}")
 def _(t):
-    d = _yx(t).withColumn("w", F.col("x") + 100 * F.col("z"))
-    return rounded(t.spark.createDataFrame(regress.two_stage(d, "y", [], ["x"], ["w", "z"])), "coef", "se", "t", digits=3)
+    return rounded(t.spark.createDataFrame(regress.two_stage(_iv(t), "y", [], ["x"], ["w", "v"])), "coef", "se", "t", digits=3)
 
 
-@query("iv_liml")
+@query("iv_liml", f"""WITH {_IV}, e AS (SELECT *, syy - pyy AS m11, sxy - pxy AS m12, sxx - pxx AS m22, m11 * m22 - m12 * m12 AS dm, (m22 * syy - 2 * m12 * sxy + m11 * sxx) / dm AS tr, (syy * sxx - sxy * sxy) / dm AS dt FROM p),
+  k AS (SELECT *, tr / 2 - sqrt(tr * tr / 4 - dt) AS k FROM e), {_IV_ROWS}""")
 def _(t):
-    d = _yx(t).withColumn("w", F.col("x") + 100 * F.col("z"))
-    return rounded(t.spark.createDataFrame(regress.liml(d, "y", [], ["x"], ["w", "z"])), "coef", "se", "t", digits=3)
+    return rounded(t.spark.createDataFrame(regress.liml(_iv(t), "y", [], ["x"], ["w", "v"])), "coef", "se", "t", digits=3)
 
 
 @query("sur")
@@ -204,9 +234,9 @@ def _(t):
     return rounded(t.spark.createDataFrame(regress.sur(p.withColumn("m", F.col("total") / F.col("n")), {"a": ("total", ["n"]), "b": ("m", ["n", "time"])})), "coef", digits=3)
 
 
-@query("rolling_ols", f"SELECT entity, segment, time, round(CASE WHEN c = 3 THEN sl END, 0) AS slope FROM (SELECT entity, segment, time, count(*) OVER w AS c, regr_slope(total, n) OVER w AS sl FROM {PANEL} WINDOW w AS (PARTITION BY entity, segment ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))")
+@query("rolling_ols", f"SELECT entity, segment, time, round(CASE WHEN c = 3 THEN sl END, 4) AS slope FROM (SELECT entity, segment, time, count(*) OVER w AS c, regr_slope(total, n) OVER w AS sl FROM {PANEL} WINDOW w AS (PARTITION BY entity, segment ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))")
 def _(t):
-    return rounded(regress.rolling(panel(t), "total", "n", ["entity", "segment"], ["time"], 3).select("entity", "segment", "time", "slope"), "slope", digits=0)
+    return rounded(regress.rolling(panel(t), "total", "n", ["entity", "segment"], ["time"], 3).select("entity", "segment", "time", "slope"), "slope", digits=4)
 
 
 _RES = f"(SELECT entity, segment, time, total - (SELECT regr_intercept(total, n) FROM {PANEL}) - (SELECT regr_slope(total, n) FROM {PANEL}) * n AS e, n FROM {PANEL})"
@@ -222,17 +252,21 @@ def _(t):
     return rounded(regress.breusch_pagan(panel(t), "total", "n"), "lm", digits=4)
 
 
-@query("white")
+@query("white", f"""WITH e AS (SELECT e * e AS y, n AS x, n * n AS z FROM {_RES}), m AS (SELECT count(*) AS n, var_pop(x) * n AS sxx, var_pop(z) * n AS szz, covar_pop(x, z) * n AS sxz,
+  covar_pop(x, y) * n AS sxy, covar_pop(z, y) * n AS szy, var_pop(y) * n AS syy FROM e), l AS (SELECT n * ((sxy * szz - szy * sxz) * sxy + (szy * sxx - sxy * sxz) * szy) / (sxx * szz - sxz * sxz) / syy AS lm FROM m)
+  SELECT round(lm, 4) AS lm, round(exp(-lm / 2), 4) AS p FROM l""")
 def _(t):
     return rounded(t.spark.createDataFrame(regress.white(panel(t), "total", "n")), "lm", "p", digits=4)
 
 
 @query("vif_pair", f"SELECT round(1 / (1 - pow(corr(x, z), 2)), 6) AS vif FROM {_YX}")
 def _(t):
-    return _yx(t).agg(F.round(1 / (1 - F.pow(F.corr("x", "z"), F.lit(2))), 6).alias("vif"))
+    return rounded(t.spark.createDataFrame(regress.vif(_yx(t), ["x", "z"])).agg(F.max("vif").alias("vif")), "vif")
 
 
-@query("vif")
+@query("vif", f"""WITH c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, 1 + 2 * xy * xz * yz - xy * xy - xz * xz - yz * yz AS d FROM {_YX}),
+  r AS (SELECT 'x' AS term, (1 - yz * yz) / d AS vif FROM c UNION ALL SELECT 'y', (1 - xz * xz) / d FROM c UNION ALL SELECT 'z', (1 - xy * xy) / d FROM c)
+  SELECT term, round(vif, 6) AS vif, CASE WHEN vif <= 5 THEN 'Accept' ELSE 'Reject' END AS verdict FROM r""")
 def _(t):
     return rounded(t.spark.createDataFrame(regress.vif(_yx(t), ["x", "z", "y"])), "vif")
 
@@ -242,15 +276,23 @@ def _(t):
     return rounded(regress.predictions(t.lineitem, {"intercept": 2.0, "x": 0.5, "x2": -0.01}, "l_quantity"), "x", "y")
 
 
-@query("quantreg")
+@query("quantreg", f"""WITH p AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY entity, time) AS i, total AS y, n AS x FROM {PANEL}),
+  c AS (SELECT a.segment, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS s, a.y - s * a.x AS c FROM p a JOIN p b ON a.segment = b.segment AND a.i < b.i AND a.x <> b.x),
+  l AS (SELECT c.segment, s, c, sum((y - c - s * x) * (q - (y - c - s * x < 0)::INT)) AS loss FROM c JOIN p USING (segment), (VALUES (0.5)) AS v(q) GROUP BY ALL),
+  b AS (SELECT segment, arg_min(s, loss) AS s, arg_min(c, loss) AS c FROM l GROUP BY ALL)
+  SELECT segment, 'const' AS term, round(c, 1) AS coef FROM b UNION ALL SELECT segment, 'n', round(s, 1) FROM b""")
 def _(t):
-    return rounded(regress.grouped(panel(t), ["segment"], "total", ["n"], lambda X, y: regress.quantile_fit(X, y, 0.5)), "coef", digits=2)
+    return rounded(regress.grouped(panel(t), ["segment"], "total", ["n"], lambda X, y: regress.quantile_fit(X, y, 0.5)), "coef", digits=1)
 
 
-@query("quantreg_grid")
+@query("quantreg_grid", f"""WITH p AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY entity, time) AS i, total AS y, n AS x FROM {PANEL}),
+  c AS (SELECT a.segment, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS s, a.y - s * a.x AS c FROM p a JOIN p b ON a.segment = b.segment AND a.i < b.i AND a.x <> b.x),
+  l AS (SELECT c.segment, q, s, c, sum((y - c - s * x) * (q - (y - c - s * x < 0)::INT)) AS loss FROM c JOIN p USING (segment), (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS v(q) GROUP BY ALL),
+  b AS (SELECT segment, q, arg_min(s, loss) AS s, arg_min(c, loss) AS c FROM l GROUP BY ALL)
+  SELECT segment, q AS quantile, 'const' AS term, round(c, 1) AS coef FROM b UNION ALL SELECT segment, q, 'n', round(s, 1) FROM b""")
 def _(t):
     parts = [regress.grouped(panel(t), ["segment"], "total", ["n"], lambda X, y, q=q: regress.quantile_fit(X, y, q)).withColumn("quantile", F.lit(q)) for q in (0.25, 0.5, 0.75)]
-    return rounded(parts[0].union(parts[1]).union(parts[2]), "coef", digits=2)
+    return rounded(parts[0].union(parts[1]).union(parts[2]), "coef", digits=1)
 
 
 @query("rlm")
@@ -274,14 +316,14 @@ def _(t):
     return prep.quantile_bins(s, "s", 3, ["time"]).select("entity", "time", "quantile")
 
 
-@query("is_symmetric", "SELECT true AS ok")
+@query("is_symmetric", f"""WITH n AS {NEAR}, m AS (SELECT 'all' AS part, i, j, weight FROM n UNION ALL SELECT 'upper', i, j, weight FROM n WHERE i < j)
+  SELECT p.part, count(m.i) = 0 AS ok FROM (SELECT DISTINCT part FROM m) p LEFT JOIN (SELECT a.part, a.i FROM m a LEFT JOIN m b ON a.part = b.part AND a.i = b.j AND a.j = b.i
+  WHERE NOT coalesce(abs(a.weight - b.weight) <= 1e-8 + 1e-5 * abs(b.weight), false)) m USING (part) GROUP BY p.part""")
 def _(t):
-    from .base import near
-
     a = near(t)
-    b = a.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("weight").alias("w"))
-    bad = a.join(b, ["i", "j"], "full").where(~F.coalesce(F.abs(F.col("weight") - F.col("w")) <= 1e-8 + 1e-5 * F.abs("w"), F.lit(False)))
-    return bad.agg((F.count("*") == 0).alias("ok"))
+    parts = {"all": a, "upper": a.where("i < j")}
+    one, two = (graph.is_symmetric(x).select(F.lit(k).alias("part"), "ok") for k, x in parts.items())
+    return one.union(two)
 
 
 @query("shapiro")

@@ -180,25 +180,33 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.array_join(a, " ").alias("text"))
 
 
-@query("nb_classify")
+def _folds(t):
+    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    return rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0")
+
+
+@query("nb_classify", f"""WITH l AS (SELECT doc_id, {_LOW} AS ws, quality FROM documents JOIN labels USING (doc_id)),
+  c AS (SELECT w, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS b FROM (SELECT quality, unnest(ws) AS w FROM l WHERE doc_id % 3 <> 0) GROUP BY w),
+  s AS (SELECT w, ln((a + 1) / (sa + v)) - ln((b + 1) / (sb + v)) AS s FROM c, (SELECT sum(a) AS sa, sum(b) AS sb, count(*) AS v FROM c)),
+  o AS (SELECT doc_id, sum(s) AS o FROM (SELECT doc_id, unnest(ws) AS w FROM l WHERE doc_id % 3 = 0) JOIN s USING (w) GROUP BY doc_id),
+  p AS (SELECT doc_id, coalesce(o, 0) + (SELECT ln(count(*) FILTER (quality = 1) / count(*) FILTER (quality = 0)) FROM l WHERE doc_id % 3 <> 0) AS m FROM l LEFT JOIN o USING (doc_id) WHERE doc_id % 3 = 0)
+  SELECT doc_id, (m > 0)::INT AS predicted, round(1 / (1 + exp(-least(greatest(m, -500), 500))), 6) AS score FROM p""")
 def _(t):
     from ..operators import classify
 
-    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
-    return rounded(classify.naive_bayes(rows, "doc_id", "text", "quality"), "score")
+    learn, rest = _folds(t)
+    return rounded(classify.naive_bayes(learn, rest, "doc_id", "text", "quality"), "score")
 
 
 @query("tree_classify")
 def _(t):
     from ..operators import classify
 
-    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
-    return rounded(classify.classify(rows, "doc_id", "text", "quality", "tree"), "score")
+    return rounded(classify.classify(*_folds(t), "doc_id", "text", "quality", "tree"), "score")
 
 
 @query("maxent_classify")
 def _(t):
     from ..operators import classify
 
-    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
-    return rounded(classify.classify(rows, "doc_id", "text", "quality", "maxent"), "score", digits=4)
+    return rounded(classify.classify(*_folds(t), "doc_id", "text", "quality", "maxent"), "score", digits=4)
