@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import vec
 
 ID, TEXT = "doc_id", "text"
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
+#: Rows of a few fixed-size columns that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,26 @@ def hashed(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("th", F.xxhash64(TEXT))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def arrow(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) by workers that hold few rows at a time and keep little memory after a task.
+
+    Where the session has Spark's own number of rows to a batch, it gets ROWS: a batch of 10,000 texts is tens of
+    megabytes in the worker and as much again in the JVM.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, str(ROWS))
+
+    def lean(batches: Batches) -> Batches:
+        yield from run(batches)
+        vec.trim()
+
+    return df.mapInArrow(lean, schema)
+
+
 def map_texts(docs: DataFrame, schema: str, each: Callable[[pa.Array, pa.Array], Iterator[list]]) -> DataFrame:
     """each(ids, texts) gives lists of columns for one Arrow batch of (doc_id, text, ...)."""
 
@@ -36,7 +59,7 @@ def map_texts(docs: DataFrame, schema: str, each: Callable[[pa.Array, pa.Array],
             if batch.num_rows:
                 yield from each(batch)
 
-    return docs.mapInArrow(run, schema)
+    return arrow(docs, run, schema)
 
 
 def batch_of(**columns: object) -> pa.RecordBatch:
@@ -50,20 +73,13 @@ def chunked(batch: pa.RecordBatch, column: str = TEXT) -> Iterator[tuple[pa.Reco
         yield batch.slice(a, b - a), part, own
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; on a cluster spark.checkpoint.dir names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/grainmill/{what}-{uuid.uuid4().hex}"
+def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    return scratch.written(df, what, keep)
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it was counted and is within bounds; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def crc_mod(column: Column, n: int) -> Column:

@@ -7,7 +7,7 @@ Two parts, used by the substring operators:
   shows. Its size follows the corpus up to 2^MAX_BITS cells a row, which bounds the broadcast; a
   fuller sketch lets more items through and loses none;
 * an exact grouping of the items that are let through: each task packs them into one binary row
-  for each hash bucket, a bucket is sorted by itself, and the places of repeated items go back to
+  for each hash bucket (so many that a bucket's share of the input is bounded), a bucket is sorted by itself, and the places of repeated items go back to
   their documents packed by document bucket. An item that repeats inside a task is settled there
   and sent once, so a frequent item costs a bucket one entry for each batch of texts, not one a row.
 
@@ -80,6 +80,16 @@ class Sketch:
         return at
 
 
+#: Bytes of text for which there is a bucket at least.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(docs: DataFrame) -> int:
+    """Buckets of hashes, and of documents: two for each shuffle partition, and as many as the input's size asks for."""
+    size = docs.agg(F.sum(F.octet_length(common.TEXT))).first()[0] or 0
+    return max(2 * parts_of(docs), -(-size // BUCKET_BYTES))
+
+
 def bits_for(docs: DataFrame, bytes_per_item: float, most: int = MAX_BITS) -> int:
     """Four cells a row for each item that texts of this size hold, between the bounds."""
     size = docs.agg(F.sum(F.octet_length(common.TEXT))).first()[0] or 0
@@ -134,8 +144,8 @@ def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarra
             yield done()
 
     n = min(DEPTH * PAGES, parts_of(rows))
-    parts = rows.mapInArrow(count, "page int, once binary, more binary").repartition(n, "page").sortWithinPartitions("page")
-    pages = parts.mapInArrow(merge, "page int, bits binary, used long").collect()
+    parts = common.arrow(rows, count, "page int, once binary, more binary").repartition(n, "page").sortWithinPartitions("page")
+    pages = common.arrow(parts, merge, "page int, bits binary, used long").collect()
     wrong = float(np.prod([sum(r.used for r in pages if r.page // PAGES == row) / (1 << bits) for row in range(DEPTH)]))
     return Sketch(bits, {r.page: bytes(r.bits) for r in pages}, wrong)
 
@@ -328,11 +338,8 @@ def exact(rows: DataFrame, items: Callable[[np.ndarray, np.ndarray], Items], n:
                 held.append(data.as_py())
         yield from flush()
 
-    sent = rows.mapInArrow(send, "ask boolean, bucket int, data binary").repartition(parts_of(rows), "bucket").sortWithinPartitions("ask", "bucket")
-    return sent.mapInArrow(settle, "bucket int, places binary")
-
-
-BROADCAST_ROWS = 1_000_000
+    sent = common.arrow(rows, send, "ask boolean, bucket int, data binary").repartition(max(parts_of(rows), n // 2), "bucket").sortWithinPartitions("ask", "bucket")
+    return common.arrow(sent, settle, "bucket int, places binary")
 
 
 def equal_texts(rows: DataFrame, size: int, n: int) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +353,7 @@ def equal_texts(rows: DataFrame, size: int, n: int) -> tuple[DataFrame, DataFram
     small = rows.select("key", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.octet_length(text).cast("long").alias("n"))
     small = common.materialise(small, "texts")
     groups = small.groupBy("t1", "t2", "n").agg(F.count("*").alias("c"), F.min("key").alias("rep")).where("c > 1 AND n IS NOT NULL")
-    members = common.materialise(small.join(groups, ["t1", "t2", "n"]).select("key", "n", (F.col("key") != F.col("rep")).alias("spare")).distinct(), "copies")
+    members = common.materialise(small.join(common.broadcast_small(groups), ["t1", "t2", "n"]).select("key", "n", (F.col("key") != F.col("rep")).alias("spare")).distinct(), "copies")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,7 +366,7 @@ def equal_texts(rows: DataFrame, size: int, n: int) -> tuple[DataFrame, DataFram
 
 def beside(rows: DataFrame, small: DataFrame) -> DataFrame:
     """A left join on the key, by broadcast only where the small side was counted and is within bounds."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, "key", "left")
+    return rows.join(common.broadcast_small(small), "key", "left")
 
 
 Each = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, dict[int, np.ndarray]], pa.RecordBatch]
@@ -402,9 +409,9 @@ def applied(docs: DataFrame, places: DataFrame, n: int, each: Each, schema: str,
 
         return run
 
-    texts = rows.mapInArrow(sorted_out(False), f"b int, is_doc boolean, rest {kind}, key long, p binary, is_null boolean")
+    texts = common.arrow(rows, sorted_out(False), f"b int, is_doc boolean, rest {kind}, key long, p binary, is_null boolean")
     found = places.select(F.col("bucket").alias("b"), F.lit(False).alias("is_doc"), F.lit(None).cast(kind).alias("rest"), F.lit(None).cast("long").alias("key"), F.col("places").alias("p"), F.lit(None).cast("boolean").alias("is_null"))
-    dealt = texts.union(found).repartition(parts_of(docs), "b").sortWithinPartitions("b", "is_doc")
+    dealt = texts.union(found).repartition(max(parts_of(docs), n // 2), "b").sortWithinPartitions("b", "is_doc")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, by_key = None, [], {}
@@ -430,8 +437,8 @@ def applied(docs: DataFrame, places: DataFrame, n: int, each: Each, schema: str,
                     for some, buf, offs in common.chunked(rows_, "t"):
                         yield each(some, buf, offs, by_key)
 
-    out = dealt.mapInArrow(meet, schema)
-    return out.union(rows.mapInArrow(sorted_out(True), schema)) if clean else out
+    out = common.arrow(dealt, meet, schema)
+    return out.union(common.arrow(rows, sorted_out(True), schema)) if clean else out
 
 
 def covered(found: np.ndarray | None, size: int, n: int) -> np.ndarray:

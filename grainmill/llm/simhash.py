@@ -19,7 +19,7 @@ table gives an empty result. Other columns are not read, except to choose among
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import common, graph, vec
 
 SHINGLE, RADIUS, BUCKET = 4, 4, 1024
@@ -151,7 +152,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> Dat
                 bucket, fp = bucket[:0], fp[:0]
         yield from done(bucket, fp)
 
-    found = common.materialise(dealt.mapInArrow(solve, "u long, v long, hot boolean"), "links")
+    found = common.materialise(common.arrow(dealt, solve, "u long, v long, hot boolean"), "links")
     easy = found.where("NOT hot").select("u", "v")
     hot = found.where("hot").select(F.col("u").alias("fp")).distinct()
     if not hot.limit(1).count():
@@ -168,7 +169,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> Dat
                 yield common.batch_of(z=(part[:, None] ^ ball[None, :]).ravel().view(np.int64), fp=np.repeat(part, len(ball)).view(np.int64))
 
     # values that only one member reaches link nothing; the rest are joined with their least member
-    reached = hot.mapInArrow(near, "z long, fp long")
+    reached = common.arrow(hot, near, "z long, fp long")
     least = reached.groupBy("z").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select(F.col("z").alias("c"), "v")
     return easy.union(reached.join(least, F.col("z") == F.col("c")).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct())
 
@@ -178,34 +179,35 @@ def cluster(docs: DataFrame) -> DataFrame:
     prints = common.materialise(fingerprints(docs), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(common.ID).alias("least"))
     roots = graph.components(links(distinct.select("fp")))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(common.broadcast_small(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select(common.ID, "fp", "component_id")
+    named = named.join(common.broadcast_small(ids), "root").select(F.col("fp").alias("f"), "component_id")
+    return prints.join(common.broadcast_small(named), F.col("fp") == F.col("f")).select(common.ID, "fp", "component_id")
 
 
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, th, root) for every row; rows with one root are a component."""
     prints = common.materialise(fingerprints(docs, hashed=True), "fingerprints")
     roots = graph.components(links(prints.select("fp").distinct()))
-    return prints.join(roots, F.col("fp") == F.col("node"), "left").select(common.ID, "th", F.coalesce("root", "fp").alias("root"))
+    return prints.join(common.broadcast_small(roots), F.col("fp") == F.col("node"), "left").select(common.ID, "th", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def representatives(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = members) -> DataFrame:
     """One row of each component, all its columns: the least by id (null ids last) and text hash.
 
-    found gives (doc_id, th, root) for every row of docs, or it is members(docs). Of rows that are
-    equal in id and text, the one with the least hash of all columns stays.
+    near(docs) gives (doc_id, th, root) for every row of docs. Of rows that are equal in id and text,
+    the one with the least hash of all columns stays.
     """
-    found = common.materialise(members(docs) if found is None else found, "members")
-    rows = found.groupBy("root", common.ID, "th").count()
-    least = F.min(F.struct(F.col(common.ID).isNull().alias("none"), F.col(common.ID).alias("i"), F.col("th").alias("t"))).alias("one")
-    rows = rows.join(found.groupBy("root").agg(least).select(F.col("root").alias("r"), "one.i", "one.t"), F.col("root") == F.col("r"))
-    stays = F.col(common.ID).eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
-    marks = rows.where(~stays | (F.col("count") > 1))
-    marks = common.materialise(marks.select(F.col(common.ID).alias("_grainmill_i"), F.col("th").alias("_grainmill_t"), stays.alias("_grainmill_s")), "marks")
-    same = docs[common.ID].cast("long").eqNullSafe(F.col("_grainmill_i")) & (F.xxhash64(docs[common.TEXT].cast("string")) == F.col("_grainmill_t"))
-    kept = docs.join(marks, same, "left_anti")
+    with scratch.temporary(docs.sparkSession):
+        found = common.materialise(near(docs), "members")
+        least = F.min(F.struct(F.col(common.ID).isNull().alias("none"), F.col(common.ID).alias("i"), F.col("th").alias("t"))).alias("one")
+        many = found.groupBy("root").agg(least, F.count("*").alias("c")).where("c > 1").select(F.col("root").alias("r"), "one.i", "one.t")
+        rows = found.join(common.broadcast_small(many), F.col("root") == F.col("r")).groupBy(common.ID, "th", "i", "t").count()
+        stays = F.col(common.ID).eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
+        marks = rows.where(~stays | (F.col("count") > 1))
+        marks = common.materialise(marks.select(F.col(common.ID).alias("_grainmill_i"), F.col("th").alias("_grainmill_t"), stays.alias("_grainmill_s")), "marks", keep=True)
+    same = docs[common.ID].cast("long").eqNullSafe(F.col("_grainmill_i")) & F.xxhash64(docs[common.TEXT].cast("string")).eqNullSafe(F.col("_grainmill_t"))
+    kept = docs.join(common.broadcast_small(marks), same, "left_anti")
     again = marks.where("_grainmill_s")
     if not again.limit(1).count():
         return kept

@@ -7,6 +7,9 @@ Memory is bounded by the chunk size, or by the longest single text where that is
 
 from __future__ import annotations
 
+import ctypes
+import platform
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow as pa
 CHUNK = 1 << 20
 U64 = np.uint64
 
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Random odd values for bytes, and odd bases, of the polynomial hashes mod 2^64.
 BYTE = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1) for _ in range(2)]
@@ -23,6 +27,13 @@ _POW: dict[int, np.ndarray] = {}
 _INV: dict[int, np.ndarray] = {}
 
 
+def trim() -> None:
+    """Give memory that is free back to the system; a worker that is used again would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def _table(words: bool) -> np.ndarray:
     t = np.zeros(256, bool)
     t[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,6 +95,13 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def flat_bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column, joined."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
 def chunks(buf: np.ndarray, offs: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, their bytes, their offsets) of at most limit bytes, or of one text."""
     n, a = len(offs) - 1, 0
