@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, q_complexity, q_prepare, q_scalars, q_statistics, q_tables, q_text  # noqa: F401  registration
+from . import base, q_complexity, q_more, q_prepare, q_scalars, q_statistics, q_tables, q_text  # noqa: F401  registration
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 FLAGSHIP = "proximity_edges"

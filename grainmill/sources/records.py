@@ -10,8 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Names of an event's properties and the columns they go to: first texts, then times.
+TEXTS = {
+    "UID": "uid", "SUMMARY": "summary", "ORGANIZER": "organizer", "LOCATION": "location", "STATUS": "status", "DESCRIPTION": "description", "URL": "url", "TRANSP": "transp",
+    "SEQUENCE": "sequence", "RRULE": "rrule", "RECURRENCE-ID": "recurrence_id", "EXDATE": "exdate", "CLASS": "class", "ATTACH": "attach",
+}
+TIMES = {"DTSTART": "start", "DTEND": "end", "LAST-MODIFIED": "last_modified", "DTSTAMP": "dtstamp", "CREATED": "created"}
+
+
 def calendar_events(text: str) -> Iterator[tuple]:
-    """(uid, summary, start, end, organizer, attendees, location, status) of each event of an iCalendar text."""
+    """The texts, times and attendees of each event of an iCalendar text; texts that are not there are empty, times null."""
     lines = re.sub(r"\r?\n[ \t]", "", text or "").splitlines()  # a line that begins with a space goes on the one before
     now: dict | None = None
     for line in lines:
@@ -20,10 +28,7 @@ def calendar_events(text: str) -> Iterator[tuple]:
         if line.strip().upper() == "BEGIN:VEVENT":
             now = {"ATTENDEE": []}
         elif line.strip().upper() == "END:VEVENT" and now is not None:
-            yield (
-                now.get("UID", ""), now.get("SUMMARY", ""), _time(now.get("DTSTART")), _time(now.get("DTEND")), now.get("ORGANIZER", ""),
-                now["ATTENDEE"], now.get("LOCATION", ""), now.get("STATUS", ""),
-            )
+            yield (*(now.get(k, "") for k in TEXTS), *(_time(now.get(k)) for k in TIMES), now["ATTENDEE"])
             now = None
         elif now is not None and value:
             value = re.sub(r"(?i)^mailto:", "", value).replace("\\,", ",").replace("\\n", "\n").replace("\\;", ";")
@@ -42,7 +47,7 @@ def _time(value: str | None) -> datetime | None:
     return None
 
 
-EVENT_SCHEMA = "uid string, summary string, start timestamp, end timestamp, organizer string, attendees array<string>, location string, status string"
+EVENT_SCHEMA = ", ".join([*(f"`{c}` string" for c in TEXTS.values()), *(f"`{c}` timestamp" for c in TIMES.values()), "attendees array<string>"])
 
 
 class CalendarEvents:
