@@ -61,6 +61,14 @@ def spanning_tree(edges: DataFrame, u: str = "i", v: str = "j", weight: str = "w
     return tree.select(F.col("u").alias(u), F.col("v").alias(v), F.col("w").alias(weight))
 
 
+def spanning_trees(edges: DataFrame, by: str, u: str = "i", v: str = "j", weight: str = "weight") -> DataFrame:
+    """(by, u, v, weight): the maximum spanning forest of each group's edges, all groups in the same rounds."""
+    kind = dict(edges.dtypes)
+    node = lambda c: F.struct(F.col(by).alias("g"), F.col(c).alias("n"))
+    tree = spanning_tree(edges.where(F.col(by).isNotNull()).select(node(u).alias("a"), node(v).alias("b"), F.col(weight).alias("w")), "a", "b", "w")
+    return tree.select(F.col("a.g").cast(kind[by]).alias(by), F.col("a.n").alias(u), F.col("b.n").alias(v), F.col("w").alias(weight))
+
+
 def tree_with_extras(edges: DataFrame, n_extra: int = 0, threshold: float | None = None, u: str = "i", v: str = "j", weight: str = "weight") -> DataFrame:
     """The spanning tree and either the n best other edges or those from a threshold on."""
     tree = _written(spanning_tree(edges, u, v, weight))

@@ -307,6 +307,14 @@ def predictions(ranges: DataFrame, coefficients: dict[str, float], x: str, point
     return at.withColumn("y", b("intercept") + b("x") * F.col("x") + b("x2") * F.col("x") * F.col("x"))
 
 
+def prepared(df: DataFrame, y: str, xs: Sequence[str], controls: Sequence[str] = (), names: dict[str, str] | None = None) -> DataFrame:
+    """The dependent, independent and control columns, under mapped names where there are some."""
+    missing = [c for c in (y, *xs, *controls) if c not in df.columns]
+    if missing:
+        raise ArgumentValueError(f"no such columns: {missing}")
+    return df.select(*dict.fromkeys([y, *xs, *controls])).withColumnsRenamed(names or {})
+
+
 def require_columns(df: DataFrame, y: str | None, xs: Sequence[str] | None, formula: str | None = None) -> tuple[str, list[str]]:
     """A formula 'y ~ a + b' or a dependent and independent columns, never both."""
     if (formula is None) == (y is None):

@@ -222,26 +222,112 @@ def factor_premia(df: DataFrame, portfolio: str, ret: str, factors: Sequence[str
     return loadings, _ols(loadings, "mean", [f"beta_{f}" for f in factors])
 
 
-def gmm(df: DataFrame, y: str, exogenous: Sequence[str], endogenous: Sequence[str], instruments: Sequence[str]) -> pd.DataFrame:
-    """Two-step efficient moments estimator; two distributed passes, of sums only."""
+def gmm(df: DataFrame, y: str, exogenous: Sequence[str], endogenous: Sequence[str], instruments: Sequence[str], updating: bool = False) -> pd.DataFrame:
+    """Efficient moments estimator: two steps, or the weights updated with the coefficients until both rest.
+
+    One distributed pass adds up products of up to four columns; everything else is as small as the
+    model and done on the driver, since the moments' covariance at any coefficients is a sum of these.
+    """
+    from itertools import combinations_with_replacement
+
     from pyspark.sql import functions as F
 
-    from .regress import moments, two_stage
+    from .regress import two_stage
 
-    n, m, names = moments(df, [*exogenous, *endogenous, *instruments, y])
-    at = {c: i for i, c in enumerate(names)}
     X, Z = ["const", *exogenous, *endogenous], ["const", *exogenous, *instruments]
-    pick = lambda a, b: m[np.ix_([at[c] for c in a], [at[c] for c in b])]
-    first = two_stage(df, y, exogenous, endogenous, instruments)["coef"].to_numpy()
+    names = list(dict.fromkeys(["const", *exogenous, *endogenous, *instruments, y]))
+    full = df.dropna(subset=names[1:])
     col = lambda c: F.lit(1.0) if c == "const" else F.col(c).cast("double")
-    e = col(y) - sum((float(b) * col(c) for b, c in zip(first, X, strict=True)), F.lit(0.0))
-    full = df.dropna(subset=[*exogenous, *endogenous, *instruments, y]).withColumn("_e", e)
-    row = full.agg(*(F.sum(F.col("_e") ** 2 * col(a) * col(b)).alias(f"s{i}_{j}") for i, a in enumerate(Z) for j, b in enumerate(Z))).first()
-    s = np.array([[row[f"s{i}_{j}"] for j in range(len(Z))] for i in range(len(Z))]) / n
-    w = np.linalg.inv(s)
-    zx, zy = pick(Z, X) / n, pick(Z, [y])[:, 0] / n
-    cov = np.linalg.inv(zx.T @ w @ zx)
-    beta = cov @ zx.T @ w @ zy
+    W = [y, *X]
+    zz, ww = list(combinations_with_replacement(range(len(Z)), 2)), list(combinations_with_replacement(range(len(W)), 2))
+    row = full.agg(F.count("*").alias("n"), *(F.sum(col(Z[a]) * col(Z[b]) * col(W[c]) * col(W[d])).alias(f"s{a}_{b}_{c}_{d}") for a, b in zz for c, d in ww)).first()
+    n, s4 = row["n"], np.zeros((len(Z), len(Z), len(W), len(W)))
+    for a, b in zz:
+        for c, d in ww:
+            s4[a, b, c, d] = s4[b, a, c, d] = s4[a, b, d, c] = s4[b, a, d, c] = row[f"s{a}_{b}_{c}_{d}"] / n
+    zw = s4[:, 0, :, 1]  # Z[0] and W[1] are the constant
+    zy, zx = zw[:, 0], zw[:, 1:]
+
+    def weights(beta: np.ndarray) -> np.ndarray:
+        e = np.concatenate(([1.0], -beta))
+        return np.linalg.inv(np.einsum("abcd,c,d->ab", s4, e, e))
+
+    def solved(w: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(zx.T @ w @ zx, zx.T @ w @ zy)
+
+    def cost(beta: np.ndarray) -> float:
+        g = zy - zx @ beta
+        return float(g @ weights(beta) @ g)
+
+    beta = solved(weights(two_stage(df, y, exogenous, endogenous, instruments)["coef"].to_numpy()))
+    if updating:
+        beta = _least(cost, beta)
+    w = weights(beta) if updating else weights(two_stage(df, y, exogenous, endogenous, instruments)["coef"].to_numpy())
     g = zy - zx @ beta
-    se = np.sqrt(np.diag(cov) / n)
+    se = np.sqrt(np.diag(np.linalg.inv(zx.T @ w @ zx)) / n)
     return pd.DataFrame({"term": X, "coef": beta, "se": se, "z": beta / se, "j": n * g @ w @ g, "n": n})
+
+
+def _least(cost: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """A minimum near start by Newton steps on numeric derivatives, halved while they do not help."""
+    x, now = start.astype(float), cost(start)
+    for _ in range(rounds):
+        h = 1e-4 * np.maximum(np.abs(x), 1e-3)
+        step = np.diag(h)
+        grad = np.array([(cost(x + d) - cost(x - d)) / (2 * k) for d, k in zip(step, h, strict=True)])
+        hess = np.array([[(cost(x + a + b) - cost(x + a - b) - cost(x - a + b) + cost(x - a - b)) / (4 * p * q) for b, q in zip(step, h, strict=True)] for a, p in zip(step, h, strict=True)])
+        scale = np.sqrt(np.abs(np.diag(hess))) + 1e-300
+        lam, v = np.linalg.eigh(hess / np.outer(scale, scale))
+        move = -(v @ ((v.T @ (grad / scale)) / np.maximum(np.abs(lam), 1e-9))) / scale
+        while cost(x + move) > now and np.abs(move / h).max() > 1e-6:
+            move /= 2
+        if cost(x + move) >= now:
+            break
+        x, now = x + move, cost(x + move)
+    return x
+
+
+def switching_regression(y: np.ndarray, X: np.ndarray, regimes: int = 2, rounds: int = 300, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(coefficients by regime, deviations, moves, log likelihood) of a regression whose coefficients switch with a hidden chain, by EM."""
+    n, k = len(y), regimes
+    cut = np.array_split(np.argsort(y - X @ np.linalg.lstsq(X, y, rcond=None)[0], kind="stable"), k)
+    p = np.full((n, k), 0.1 / max(1, k - 1))
+    for j, at in enumerate(cut):
+        p[at, j] = 0.9
+    move, start, last = np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), np.full(k, 1 / k), -np.inf
+    for _ in range(rounds):
+        beta = np.array([np.linalg.lstsq(X * np.sqrt(p[:, [j]]), y * np.sqrt(p[:, j]), rcond=None)[0] for j in range(k)])
+        e2 = (y[:, None] - X @ beta.T) ** 2
+        sd = np.sqrt(np.maximum((p * e2).sum(0) / p.sum(0), 1e-12 * max(y.var(), 1e-12)))
+        dens = np.exp(-0.5 * e2 / sd**2) / (sd * np.sqrt(2 * np.pi)) + 1e-300
+        f, c = np.empty((n, k)), np.empty(n)
+        for t in range(n):
+            f[t] = (start if t == 0 else f[t - 1] @ move) * dens[t]
+            c[t] = f[t].sum()
+            f[t] /= c[t]
+        b, pair = np.ones((n, k)), np.zeros((k, k))
+        for t in range(n - 2, -1, -1):
+            ahead = dens[t + 1] * b[t + 1] / c[t + 1]
+            pair += f[t][:, None] * move * ahead[None, :]
+            b[t] = move @ ahead
+        p = f * b
+        p /= p.sum(1, keepdims=True)
+        move, start, now = pair / np.maximum(pair.sum(1, keepdims=True), 1e-300), p[0], float(np.log(c).sum())
+        if abs(now - last) < tol * abs(now):
+            break
+        last = now
+    order = np.argsort(beta[:, 0])
+    return beta[order], sd[order], move[np.ix_(order, order)], now
+
+
+def autoregressive_regimes(df: DataFrame, by: Sequence[str], column: str, order: str, lags: int = 1, k: int = 2) -> DataFrame:
+    """(by, regime, const, lag_1 .., sd, stay) of each series whose autoregression switches."""
+
+    def run(pdf: pd.DataFrame) -> dict:
+        x = pdf.sort_values(order)[column].to_numpy(float)
+        X = np.column_stack([np.ones(len(x) - lags), *(x[lags - j : len(x) - j] for j in range(1, lags + 1))])
+        beta, sd, move, _ = switching_regression(x[lags:], X, k)
+        return {"regime": list(range(k)), "const": beta[:, 0], **{f"lag_{j}": beta[:, j] for j in range(1, lags + 1)}, "sd": sd, "stay": np.diag(move)}
+
+    cols = ", ".join(f"lag_{j} double" for j in range(1, lags + 1))
+    return _by_group(df, by, [column, order], f"regime int, const double, {cols}, sd double, stay double", run)

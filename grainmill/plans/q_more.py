@@ -8,6 +8,7 @@ from .. import scratch
 from ..functions import bits, geo
 from ..operators import checks, coefficients, names, prep, text
 from ..sources import files
+from ..streaming import pending, requests
 from .base import PANEL, panel, query, rounded
 
 _LOW = "list_transform(regexp_extract_all(text, '([A-Za-z]{2,}[0-9]{0,1})', 1), lambda x: lower(x))"
@@ -122,3 +123,30 @@ def _(t):
 
     p = prep.mapped(panel(t), ["total"], F.ln, "log")
     return rounded(regress.simple(p, names.transformed(p, "total", "log"), names.transformed(p, "n"), ["entity"]).select("entity", "slope"), "slope", digits=9)
+
+
+@query("request_json", """SELECT n_nationkey, to_json({'includedTypes': ['bar', 'cafe'], 'maxResultCount': 20, 'locationRestriction': {'circle': {'center': {'latitude': n_regionkey + 0.5::DOUBLE, 'longitude': n_nationkey + 0.25::DOUBLE}, 'radius': 150.0::DOUBLE}}, 'languageCode': 'en'})::VARCHAR AS circle,
+  to_json({'location': (n_regionkey + 0.5::DOUBLE)::VARCHAR || ', ' || (n_nationkey + 0.25::DOUBLE)::VARCHAR, 'radius': '150', 'type': 'bar', 'key': '', 'language': 'en'})::VARCHAR AS plain FROM nation""")
+def _(t):
+    x, y = F.col("n_nationkey") + F.lit(0.25), F.col("n_regionkey") + F.lit(0.5)
+    return t.nation.select("n_nationkey", requests.nearby_circle(x, y, 150, ["bar", "cafe"]).alias("circle"), requests.nearby(x, y, 150, "bar").alias("plain"))
+
+
+@query("search_resumed", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 17)")
+def _(t):
+    at, shops = scratch.path(t.spark, "search"), t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    find = lambda points: points.join(shops, "n_nationkey").select("s_suppkey")
+    for budget in (7, 10):  # the second call goes on where the first ended
+        found, _ = pending.search(t.spark, t.nation.select("n_nationkey"), "n_nationkey", find, at, budget, 4)
+    return found
+
+
+@query("trees_by_period", """WITH RECURSIVE n AS (SELECT s_nationkey % 3 AS g, least(a, b) AS i, greatest(a, b) AS j, max(w) AS w FROM (SELECT s_nationkey, s_nationkey AS a, s_suppkey % 11 + 30 AS b, s_suppkey % 7 + 1.0::DOUBLE AS w FROM supplier) GROUP BY ALL),
+  r AS (SELECT g, i AS u0, j AS v0, w AS w0, i AS node FROM n UNION SELECT r.g, u0, v0, w0, CASE WHEN n.i = r.node THEN n.j ELSE n.i END FROM r JOIN n ON n.g = r.g AND (n.i = r.node OR n.j = r.node)
+  AND (n.w > w0 OR (n.w = w0 AND (n.i < u0 OR (n.i = u0 AND n.j < v0)))))
+  SELECT g, i, j, w AS weight FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.g = n.g AND u0 = i AND v0 = j AND node = j)""")
+def _(t):
+    from ..operators import graph
+
+    e = t.supplier.select((F.col("s_nationkey") % 3).alias("g"), F.col("s_nationkey").cast("long").alias("i"), (F.col("s_suppkey") % 11 + 30).cast("long").alias("j"), (F.col("s_suppkey") % 7 + F.lit(1.0)).cast("double").alias("weight"))
+    return graph.spanning_trees(e, "g")

@@ -349,6 +349,17 @@ def _(t):
     return rounded(series.regimes(daily, ["event_type"], "value", "day"), "mean", "sd", "stay", digits=3)
 
 
+@query("markov_autoregression")
+def _(t):
+    daily = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
+    return rounded(series.autoregressive_regimes(daily, ["event_type"], "value", "day"), "const", "lag_1", "sd", "stay", digits=3)
+
+
+@query("iv_gmm_updating")
+def _(t):
+    return rounded(t.spark.createDataFrame(series.gmm(_iv(t), "y", [], ["x"], ["w", "v"], updating=True)), "coef", "se", "z", "j", digits=2)
+
+
 @query("factor_premia")
 def _(t):
     p = panel(t).groupBy("entity", "time").agg(F.avg("total").alias("r"))

@@ -46,3 +46,39 @@ def refine(points: DataFrame, find: Callable[[DataFrame], DataFrame], narrow: Ca
         full = got.groupBy(*group).agg(F.count_distinct(item).alias("_n")).where(F.col("_n") >= least).select(*group)
         todo = narrow(full)
     return found.select(item).distinct()
+
+
+def any_pending(all_rows: DataFrame, done: DataFrame, key: str, recalculate: bool = False) -> bool:
+    """Whether there is work: a row that isn't done, or any row if all is to be done again."""
+    return bool((all_rows if recalculate else pending(all_rows, done, key)).limit(1).count())
+
+
+def save_now(k: int, total: int, spent: int, budget: int, every: int = 200) -> bool:
+    """Whether to store what was found after request k of total: each so many, the last one, and when the budget ends."""
+    return k % every == 0 or k == total - 1 or spent >= budget - 1
+
+
+def search(spark: SparkSession, points: DataFrame, key: str, find: Callable[[DataFrame], DataFrame], folder: str, budget: int, every: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(found, done): search around points in order of their key, so many at a time, until none is left or the budget is spent.
+
+    What is found and which points are done is appended in a folder after each step, so a later call goes on
+    where one ended or broke off; a step that broke off between the two is done again, and its finds
+    count once.
+    """
+    found, done = f"{folder}/found", f"{folder}/done"
+    none = points.select(key).limit(0)
+    none.write.mode("append").parquet(done)
+    find(points.limit(0)).write.mode("append").parquet(found)
+    while budget > 0:
+        step = min(every, budget)
+        rows = resume(points, spark.read.schema(none.schema).parquet(done), key, key, step).persist()
+        n = rows.count()
+        if n:
+            find(rows).write.mode("append").parquet(found)
+            rows.select(key).write.mode("append").parquet(done)
+        rows.unpersist()
+        budget -= n
+        if n < step:
+            break
+    got = spark.read.schema(find(points.limit(0)).schema).parquet(found).distinct()
+    return got, spark.read.schema(none.schema).parquet(done)

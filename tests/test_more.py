@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from grainmill import context, scratch
 from grainmill.errors import ArgumentStructureError, ArgumentValueError
 from grainmill.functions import bits, geo, python_udfs
-from grainmill.operators import checks, classify, clusters, coefficients, graph, names, ordered, regress
+from grainmill.operators import checks, classify, clusters, coefficients, graph, names, ordered, regress, series
 from grainmill.sources import files
-from grainmill.streaming import pending
+from grainmill.streaming import pending, requests
 
 
 def vectors(spark, n=60, seed=0):
@@ -241,3 +241,71 @@ def test_scratch_tables_go(spark):
         gone, there = (x.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for x in (a, b))
         assert os.path.isdir(gone)
     assert not os.path.isdir(gone) and os.path.isdir(there) and b.count() == 4
+
+
+def test_moments_estimator_with_updated_weights(spark):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(400, 2))
+    u = rng.normal(size=400)
+    x = z @ [1, 0.5] + u
+    y = 2 + 3 * x + u * (1 + np.abs(z[:, 0]))
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "a": z[:, 0], "b": z[:, 1]}))
+    Z, X = np.column_stack([np.ones(400), z]), np.column_stack([np.ones(400), x])
+
+    def cost(beta, at=None):
+        e = y - X @ (beta if at is None else at)
+        g = Z.T @ (y - X @ beta) / 400
+        return g @ np.linalg.inv((Z * e[:, None] ** 2).T @ Z / 400) @ g
+
+    two = series.gmm(df, "y", [], ["x"], ["a", "b"])
+    first = np.linalg.solve((X.T @ Z) @ np.linalg.inv(Z.T @ Z) @ (Z.T @ X), (X.T @ Z) @ np.linalg.inv(Z.T @ Z) @ (Z.T @ y))
+    best = two["coef"].to_numpy()
+    assert all(cost(best, first) <= cost(best + d, first) + 1e-15 for d in rng.normal(scale=1e-3, size=(50, 2))) and math.isclose(two["j"][0], 400 * cost(best, first), rel_tol=1e-6)
+    new = series.gmm(df, "y", [], ["x"], ["a", "b"], updating=True)["coef"].to_numpy()
+    assert cost(new) < cost(best) and all(cost(new) <= cost(new + d) + 1e-12 for s in (1e-1, 1e-2, 1e-3) for d in rng.normal(scale=s, size=(50, 2)))
+
+
+def test_switching_autoregression_is_found_again():
+    rng = np.random.default_rng(6)
+    y, state = [0.0], 0
+    for _ in range(1500):
+        state = state if rng.random() < 0.95 else 1 - state
+        y.append([0.0, 5.0][state] + [0.7, 0.1][state] * y[-1] + rng.normal(scale=[0.5, 1.0][state]))
+    y = np.array(y)
+    beta, sd, move, _ = series.switching_regression(y[1:], np.column_stack([np.ones(1500), y[:-1]]))
+    assert np.allclose(beta, [[0, 0.7], [5, 0.1]], atol=0.25) and np.allclose(sd, [0.5, 1.0], atol=0.15) and np.allclose(np.diag(move), 0.95, atol=0.03)
+
+
+def test_search_goes_on_after_it_broke_off(spark, tmp_path):
+    points, asked = spark.range(10).withColumnRenamed("id", "k"), []
+
+    def find(rows):
+        ks = [r.k for r in rows.collect()]
+        asked.extend(ks)
+        if 5 in ks and asked.count(5) == 1:
+            raise RuntimeError("broke off")
+        return rows.select((F.col("k") * 10).alias("item"))
+
+    at = str(tmp_path / "s")
+    with pytest.raises(RuntimeError):
+        pending.search(spark, points, "k", find, at, 100, 3)
+    assert pending.any_pending(points, spark.read.parquet(f"{at}/done"), "k")
+    found, done = pending.search(spark, points, "k", find, at, 100, 3)
+    assert sorted(r.item for r in found.collect()) == list(range(0, 100, 10)) and done.count() == 10 and asked.count(0) == 1
+    assert not pending.any_pending(points, done, "k") and pending.any_pending(points, done, "k", recalculate=True)
+    assert [pending.save_now(k, 450, k, 10_000) for k in (0, 1, 200, 449)] == [True, False, True, True] and pending.save_now(3, 450, 9, 10)
+
+
+def test_requests_are_checked():
+    for bad in (dict(metres=0), dict(metres=1, language="eng"), dict(metres=1, most=0)):
+        with pytest.raises(ArgumentValueError):
+            requests.nearby_circle(F.lit(1.0), F.lit(2.0), **bad)
+    with pytest.raises(ArgumentValueError):
+        requests.nearby(F.lit(1.0), F.lit(2.0), 5, "")
+
+
+def test_prepared_columns(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "y int, a int, b int, c int")
+    assert regress.prepared(df, "y", ["a"], ["c"], {"a": "Income"}).columns == ["y", "Income", "c"]
+    with pytest.raises(ArgumentValueError):
+        regress.prepared(df, "y", ["q"])
