@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import bits, geo
 from ..operators import checks, coefficients, names, prep, text
-from ..sources import files
+from ..sources import files, records
 from ..streaming import pending, requests
 from .base import PANEL, panel, query, rounded
 
@@ -150,3 +150,27 @@ def _(t):
 
     e = t.supplier.select((F.col("s_nationkey") % 3).alias("g"), F.col("s_nationkey").cast("long").alias("i"), (F.col("s_suppkey") % 11 + 30).cast("long").alias("j"), (F.col("s_suppkey") % 7 + F.lit(1.0)).cast("double").alias("weight"))
     return graph.spanning_trees(e, "g")
+
+
+def _log(t):
+    head = F.format_string("Fixed-effects (within) regression    Number of obs     =      %,d\nR-squared:  within  = 0.%02d\n  sigma_u |  %.2f\n", "p_partkey", "p_size", "p_retailprice")
+    table = F.format_string(". vif y x\n    Variable |       VIF       1/VIF\n-------------+-----\n   x%d |    %.2f    0.500000\n   z |   .   1.5*\n", "p_size", "p_retailprice")
+    return t.part.select("p_partkey", F.concat(F.lit(". xtreg y x, fe\n"), head, table).alias("log"), F.format_string("/logs/a_fe_%s_%d.log", F.regexp_replace("p_brand", "#", ""), "p_partkey").alias("path"))
+
+
+@query("log_statistics", """SELECT p_partkey, 'xtreg' AS command, name, value FROM (SELECT p_partkey, 'Number of obs' AS name, p_partkey::DOUBLE AS value FROM part UNION ALL
+  SELECT p_partkey, 'within', p_size / 100 FROM part UNION ALL SELECT p_partkey, 'sigma_u', round(p_retailprice, 2)::DOUBLE FROM part)""")
+def _(t):
+    got = records.parsed(_log(t), "log_statistics", "log", ["p_partkey"])
+    return got.select("p_partkey", "command", F.regexp_extract("name", r"(Number of obs|within|sigma_u)$", 1).alias("name"), "value")
+
+
+@query("log_tables", """SELECT p_partkey, r AS row, h AS "column", v AS value, m AS marked FROM (SELECT p_partkey, 'x' || p_size AS r, 'VIF' AS h, round(p_retailprice, 2)::DOUBLE AS v, false AS m FROM part UNION ALL
+  SELECT p_partkey, 'x' || p_size, '1/VIF', 0.5, false FROM part UNION ALL SELECT p_partkey, 'z', 'VIF', NULL, false FROM part UNION ALL SELECT p_partkey, 'z', '1/VIF', 1.5, true FROM part)""")
+def _(t):
+    return records.parsed(_log(t), "log_tables", "log", ["p_partkey"]).select("p_partkey", "row", "column", "value", "marked")
+
+
+@query("log_identity", "SELECT p_partkey, 'a' AS tag, 'fe' AS type, replace(p_brand, '#', '') AS \"group\", p_partkey::VARCHAR AS id FROM part")
+def _(t):
+    return _log(t).select("p_partkey", records.log_identity(F.col("path")).alias("i")).select("p_partkey", "i.*")

@@ -77,10 +77,69 @@ class LogCoefficients:
         yield from log_coefficients(text)
 
 
+#: 'Name = number' in a model's head, and rows like 'sigma_u | 1.5' below its coefficients.
+PAIR = re.compile(r"([A-Za-z][\w.,()\-> |]*?)\s*=\s*(-?[\d,]*\.?\d+(?:e[+-]?\d+)?)(?![\w.])")
+TAIL = re.compile(r"^\s*(sigma_u|sigma_e|rho)\s*\|\s*(-?[\d.]+(?:e[+-]?\d+)?)", re.M)
+CELL = re.compile(r"-?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?\*?|\.")
+
+
+def _parts(text: str | None) -> Iterator[tuple[int, str, str, str]]:
+    """(number, command, first argument, text) of each command of a log."""
+    marks = [*MODEL.finditer(text or "")]
+    for k, m in enumerate(marks):
+        yield k, m[1], m[2], text[m.end() : marks[k + 1].start() if k + 1 < len(marks) else len(text)]
+
+
+def log_statistics(text: str) -> Iterator[tuple]:
+    """(model, command, name, value) of the numbers that a log gives by name: rows, groups, R-squared, tests, variances."""
+    for k, command, _, part in _parts(text):
+        for m in PAIR.finditer(part):
+            yield k, command, re.sub(r"\s+", " ", m[1]).strip(" |"), float(m[2].replace(",", ""))
+        for m in TAIL.finditer(part):
+            yield k, command, m[1], float(m[2])
+
+
+def log_tables(text: str) -> Iterator[tuple]:
+    """(model, command, row, column, value, marked) of tables 'names | columns': summaries, correlations, inflation factors, unit roots.
+
+    A row that a table has no headings for is left to log_coefficients; '.' is a missing value.
+    """
+    for k, command, _, part in _parts(text):
+        heads: list[str] = []
+        for line in part.splitlines():
+            left, bar, right = line.partition("|")
+            if not bar:
+                continue
+            cells = right.split()
+            if cells and not all(CELL.fullmatch(c) for c in cells):
+                heads = re.split(r"\s{2,}", right.strip())
+            elif heads and cells and left.strip():
+                for head, cell in zip(heads, cells, strict=False):
+                    yield k, command, left.strip(), head, None if cell == "." else float(cell.rstrip("*")), cell.endswith("*")
+
+
+class LogStatistics:
+    def eval(self, text: str):
+        yield from log_statistics(text)
+
+
+class LogTables:
+    def eval(self, text: str):
+        yield from log_tables(text)
+
+
+def log_identity(path: Column) -> Column:
+    """(tag, type, group, id) of a log from its file name tag_type_group_id.log."""
+    parts = F.split(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.log$", ""), "_")
+    return F.struct(*(F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(("tag", "type", "group", "id"))))
+
+
 def register(spark: SparkSession) -> None:
     """Make calendar_events(text) and log_coefficients(text) table functions of the session."""
     spark.udtf.register("calendar_events", F.udtf(CalendarEvents, returnType=EVENT_SCHEMA))
     spark.udtf.register("log_coefficients", F.udtf(LogCoefficients, returnType=LOG_SCHEMA))
+    spark.udtf.register("log_statistics", F.udtf(LogStatistics, returnType="model int, command string, name string, value double"))
+    spark.udtf.register("log_tables", F.udtf(LogTables, returnType="model int, command string, row string, column string, value double, marked boolean"))
 
 
 def parsed(df: DataFrame, function: str, text: str, keys: list[str]) -> DataFrame:
