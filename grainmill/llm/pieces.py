@@ -18,6 +18,7 @@ same pieces; null ids count as id 0. Very long texts are encoded whole. Other co
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,11 @@ from .stats import HEAD
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 20
 NONE = np.int32(2**31 - 1)
+#: Symbols from which a unit has an agenda of its own, and cells that are merged at a time.
+LONG, CELLS = 64, 1 << 19
+#: Weights of a candidate's start, split and end in its hash.
+PLACE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+M64 = (1 << 64) - 1
 SPACE_MARK = "▁"
 
 
@@ -43,12 +49,20 @@ class Vocabulary:
     keys: np.ndarray  # hash table of pairs of symbols ...
     rank: np.ndarray  # ... the rank of their merge, the best is 0 ...
     into: np.ndarray  # ... and the symbol it gives
+    by_rank: np.ndarray  # the same by rank
     probes: int
     size: int  # pieces; symbols from here on are characters that are no piece
     byte: np.ndarray  # the piece of each byte
     flat: np.ndarray  # the bytes of all pieces, joined
     offs: np.ndarray
 
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair's merge."""
+        if not hasattr(self, "_pairs"):
+            used = self.keys >= 0
+            self._pairs = dict(zip(self.keys[used].tolist(), self.rank[used].tolist(), strict=True))
+        return self._pairs
+
 
 def load(path: str = MODEL) -> Vocabulary:
     import sentencepiece
@@ -86,7 +100,8 @@ def load(path: str = MODEL) -> Vocabulary:
     byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
     value = {int(p): bytes([b]) for b, p in enumerate(byte)}
     raw = [value.get(i, b"" if sp.is_control(i) or sp.is_unknown(i) else text[i].replace(SPACE_MARK, " ").encode()) for i in range(size)]
-    return Vocabulary(char, joins, keys, ranks, gives, probes, size, byte, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    by_rank = np.array(sorted(normal, key=order.get), np.int32)
+    return Vocabulary(char, joins, keys, ranks, gives, by_rank, probes, size, byte, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
 def _slot(key: np.ndarray, probe: int, bits: int) -> np.ndarray:
@@ -111,46 +126,104 @@ def lookup(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarr
     return rank, into
 
 
-def _merge(v: Vocabulary, sym: np.ndarray, n: np.ndarray, salt: np.ndarray, drop: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge the rows of a matrix of symbols (row i has n[i]); gives symbols, their starts and numbers."""
-    rows, width = sym.shape
-    begin = np.tile(np.arange(width + 1, dtype=np.int32), (rows, 1))
-    close = n.astype(np.uint64) + vec.U64(1)  # the unit's own end, whatever the width
+def _draws(salt: np.ndarray, start: np.ndarray, split: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The keyed hash of candidate merges; a candidate is skipped if it is below the dropout's bound."""
+    place = (x.astype(np.uint64) * vec.U64(c) for x, c in zip((start, split, end), PLACE, strict=True))
+    return vec.mix(salt + next(place) + next(place) + next(place))
+
 
-    def ranked(r: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank, into = lookup(v, sym[r, j], sym[r, j + 1])
+def _merge(v: Vocabulary, sym: np.ndarray, n: np.ndarray, salt: np.ndarray, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the rows of a matrix of symbols (row i has n[i]) step by step, all rows at once.
+
+    Gives the symbols and which of them are left. A symbol keeps the place where it starts; next and
+    previous ones are linked. A pair's key is its merge's rank and then its place, so the least key of
+    a row is what an agenda would take.
+    """
+    rows, width = sym.shape
+    bits = width.bit_length()
+    out, left = sym.T.copy(), np.arange(width)[:, None] < n[None, :]
+    keep, step = np.arange(rows), np.arange(width, dtype=np.int32)
+    s, lasts, salt = out.copy(), n.astype(np.uint64) + vec.U64(1), salt.astype(np.uint64)
+    after = np.where(step[:, None] + 1 < n[None, :], step[:, None] + 1, width).astype(np.int32)
+    before = np.tile(np.arange(-1, width, dtype=np.int32)[:, None], (1, rows))  # the last one is written for the end
+    key = np.full((width, rows), NONE, np.int32)
+
+    def ranked(r: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Keys of the pairs that start at j."""
+        k = after[j, r]
+        rank, _ = lookup(v, s[j, r], s[k, r])
         if drop:
             at = np.flatnonzero(rank != NONE)
-            place = [begin[r[at], j[at] + d].astype(np.uint64) for d in range(3)]
-            place[2] = np.where(j[at] + 2 < n[r[at]], place[2], close[r[at]])
-            h = vec.mix(salt[r[at]] + place[0] * vec.U64(0x9E3779B97F4A7C15) + place[1] * vec.U64(0xC2B2AE3D27D4EB4F) + place[2] * vec.U64(0x165667B19E3779F9))
-            rank[at[h < drop]] = NONE
-        return rank, into
-
-    rank, into = np.full((rows, width), NONE, np.int32), np.zeros((rows, width), np.int32)
-    r, j = np.nonzero(np.arange(width - 1)[None, :] < (n - 1)[:, None]) if width > 1 else (np.zeros(0, int), np.zeros(0, int))
-    rank[r, j], into[r, j] = ranked(r, j)
-    live = np.flatnonzero(rank.min(axis=1) != NONE)
-    step = np.arange(width)
-    while len(live):
-        j = rank[live].argmin(axis=1)
-        new = into[live, j]
-        n[live] -= 1
-        # drop symbol j + 1 of each row, and the pair that began there
-        back = step[None, :] + (step[None, :] > j[:, None])
-        back[:, -1] = np.minimum(back[:, -1], width - 1)
-        for m in (sym, rank, into):
-            m[live] = np.take_along_axis(m[live], np.minimum(back, width - 1), axis=1)
-        wide = np.arange(width + 1)[None, :]
-        begin[live] = np.take_along_axis(begin[live], np.minimum(wide + (wide > j[:, None]), width), axis=1)
-        sym[live, j] = new
-        rank[live, n[live] - 1] = NONE
-        for d in (-1, 0):
-            ok = (j + d >= 0) & (j + d + 1 < n[live])
-            a, b = live[ok], j[ok] + d
-            rank[a, b], into[a, b] = ranked(a, b)
-        live = live[rank[live].min(axis=1) != NONE]
-    return sym, begin, n
+            end = after[k[at], r[at]].astype(np.uint64)
+            end = np.where(end < width, end, lasts[r[at]])
+            rank[at[_draws(salt[r[at]], j[at], k[at], end) < drop]] = NONE
+        return np.where(rank != NONE, (rank << bits) | j.astype(np.int32), NONE)
+
+    j, r = np.nonzero(step[:, None] + 1 < n[None, :])
+    key[j, r] = ranked(r, j)
+    while True:
+        best = key.min(axis=0) if width else np.zeros(0, np.int32)
+        live = np.flatnonzero(best != NONE)
+        if 2 * len(live) <= len(keep):  # rows that are done go
+            done = np.flatnonzero(best == NONE)
+            out[:, keep[done]] = s[:, done]
+            if not len(live):
+                return out.T, left.T
+            s, after, before, key = (m[:, live] for m in (s, after, before, key))
+            keep, lasts, salt, best, live = keep[live], lasts[live], salt[live], best[live], np.arange(len(live))
+        best = best[live]
+        j = best & np.int32((1 << bits) - 1)
+        k = after[j, live]
+        e = after[k, live]
+        s[j, live] = v.by_rank[best >> bits]
+        after[j, live] = e
+        before[e, live] = j
+        left[k, keep[live]] = False
+        key[k, live] = NONE
+        key[j, live] = NONE
+        ok = np.flatnonzero(e < width)
+        key[j[ok], live[ok]] = ranked(live[ok], j[ok])
+        p = before[j, live]
+        ok = np.flatnonzero(p >= 0)
+        key[p[ok], live[ok]] = ranked(live[ok], p[ok])
+
+
+def _agenda(v: Vocabulary, sym: np.ndarray, salt: np.uint64, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long run of symbols: a heap of candidates, so work grows as n log n."""
+    n, key, low = len(sym), int(salt), int(drop)
+    start = np.arange(n - 1)
+    rank, _ = lookup(v, sym[:-1], sym[1:])
+    if low:
+        rank[_draws(np.full(n - 1, salt), start, start + 1, np.where(start + 2 < n, start + 2, n + 1)) < drop] = NONE
+    at = np.flatnonzero(rank != NONE)
+    heap = list(zip(rank[at].tolist(), at.tolist(), (at + 1).tolist(), (at + 2).tolist(), strict=True))
+    heapq.heapify(heap)
+    s, after, before, left, ranks, by_rank = sym.tolist(), list(range(1, n + 1)), list(range(-1, n)), [True] * n, v.pairs(), v.by_rank.tolist()
+
+    def offer(i: int, k: int) -> None:
+        r = ranks.get(s[i] << 32 | s[k])
+        if r is None:
+            return
+        e = after[k]
+        if low:
+            h = (key + i * PLACE[0] + k * PLACE[1] + (e if e < n else n + 1) * PLACE[2]) & M64
+            h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & M64
+            h = ((h ^ h >> 27) * 0x94D049BB133111EB) & M64
+            if h ^ h >> 31 < low:
+                return
+        heapq.heappush(heap, (r, i, k, e))
+
+    while heap:
+        r, i, k, e = heapq.heappop(heap)
+        if not left[i] or after[i] != k or after[k] != e or not left[k]:
+            continue  # one of the two is part of a longer piece by now
+        s[i], after[i], left[k] = by_rank[r], e, False
+        before[e] = i
+        if e < n:
+            offer(i, e)
+        if before[i] >= 0:
+            offer(before[i], i)
+    return np.array(s, np.int32), np.array(left)
 
 
 def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray | None = None, alpha: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -190,25 +263,31 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray |
         turn = first - starts[owner]
         which = vec.mix(vec.mix(names.astype(np.int64).astype(np.uint64) + vec.U64(seed))[owner] + turn.astype(np.uint64))
         h = vec.mix(h + which * vec.U64(0xD6E8FEB86659FD93) + vec.U64(seed * 0x9FB21C651E98DF25 % (1 << 64)))
-    unit, one, back = np.unique(h, return_index=True, return_inverse=True)
+        unit, one, back = h, np.arange(len(h)), np.arange(len(h))  # every occurrence is a draw of its own
+    else:
+        unit, one, back = np.unique(h, return_index=True, return_inverse=True)
     a, size = first[one], (last - first)[one]
     order = np.argsort(size, kind="stable")
+    sorted_ = size[order]
     out_n = np.zeros(len(unit), np.int64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     lo = 0
     while lo < len(order):
-        wide = int(size[order[lo]])
+        wide = int(sorted_[lo])
         top = wide if wide <= 16 else wide + wide // 8
-        hi = int(np.searchsorted(size[order], top, side="right"))
-        hi = min(hi, lo + max(1, (1 << 21) // top))
+        hi = int(np.searchsorted(sorted_, top, side="right"))
+        hi = min(hi, lo + max(1, CELLS // top)) if wide <= LONG else lo + 1
         u = order[lo:hi]
         top = int(size[u[-1]])
         n = size[u].astype(np.int64)
         cells = np.minimum(a[u][:, None] + np.arange(top)[None, :], len(cp) - 1)
         m = sym[cells]
-        m, begin, n = _merge(v, m, n, unit[u], drop)
-        in_ = np.arange(top)[None, :] < n[:, None]
-        got, where = m[in_], (a[u][:, None] + begin[:, :-1])[in_]
+        if wide <= LONG:
+            m, in_ = _merge(v, m, n, unit[u], drop)
+        else:
+            m, in_ = (x[None, :] for x in _agenda(v, m[0], unit[u[0]], drop))
+        n = in_.sum(axis=1)
+        got, where = m[in_], cells[in_]
         raw = (got < 0) | (got >= v.size)  # characters that are no piece: their bytes
         count = np.ones(len(got), np.int64)
         c = cp[where[raw]]
