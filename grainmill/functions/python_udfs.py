@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import textwrap
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,18 +12,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lcs_ratio(a: str, b: str) -> float:
+def common_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """The length of the longest common subsequence of each pair: one table for all pairs, a character of a at a time."""
+    wide, high = max(map(len, b), default=0), max(map(len, a), default=0)
+    codes = lambda texts, n, pad: np.array([[*map(ord, t), *[pad] * (n - len(t))] for t in texts], np.int32).reshape(len(texts), n)
+    x, y = codes(a, high, -1), codes(b, wide, -2)
+    row = np.zeros((len(a), wide + 1), np.int32)
+    for p in range(high):  # the running maximum stands for the step to the right; a text that has ended matches nothing
+        row[:, 1:] = np.maximum.accumulate(np.where(y == x[:, p, None], row[:, :-1] + 1, row[:, 1:]), axis=1)
+    return row[:, -1]
+
+
+def lcs_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     """0 for an empty text, the ratio of lengths if one holds the other, else the longest common subsequence over the longer."""
-    if not a or not b:
-        return 0.0
-    if a in b or b in a:
-        return min(len(a), len(b)) / max(len(a), len(b))
-    row = np.zeros(len(b) + 1, np.int32)
-    codes = np.array([ord(c) for c in b])
-    for c in a:  # a row of the table at a time: the running maximum stands for the step to the right
-        match = np.where(codes == ord(c), row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(match)
-    return float(row[-1]) / max(len(a), len(b))
+    low, high = (np.array([f(len(x), len(y)) for x, y in zip(a, b, strict=True)], float) for f in (min, max))
+    part = np.array([x in y or y in x for x, y in zip(a, b, strict=True)], bool)
+    found, rest = low.copy(), np.flatnonzero(~part)
+    rest = rest[np.argsort(high[rest], kind="stable")]
+    for k in range(0, len(rest), 512):  # texts of a length together
+        at = rest[k : k + 512]
+        found[at] = common_lengths([a[i] for i in at], [b[i] for i in at])
+    return np.where(low > 0, found / np.maximum(high, 1), 0.0)
+
+
+def lcs_ratio(a: str, b: str) -> float:
+    return float(lcs_ratios([a], [b])[0])
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -119,7 +132,10 @@ def _pairs(score):
 
 
 def lcs_similarity(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_pairs(lcs_ratio), "double")(a, b)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(lcs_ratios(a.fillna("").tolist(), b.fillna("").tolist()), dtype=float)
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

@@ -4,9 +4,10 @@ Every shard s draws u(key, s) in (0, 1) from a hash; the key goes to the shard w
 -ln(u) / weight. A shard that is added only wins keys for itself, so growing from n to n + 1 shards
 moves about 1 / (n + 1) of the rows, all of them into the new shard, and nothing between old ones.
 
-Slots number each shard's rows without gaps. A shard is cut into fixed parts by a hash of the key;
-the parts' counts are summed up (a table of shards x parts rows, whatever the input) and rows are
-numbered inside their part, so no task sorts a whole shard and no text is shuffled.
+Slots number each shard's rows without gaps. A shard is cut into fixed parts by a hash of the key and
+the text's CRC; the parts' counts are summed up (a table of shards x parts rows, whatever the input) and
+rows are numbered inside their part. Rows that are equal in all columns are counted before they are
+shuffled and numbered together, so no task sorts a whole shard or a frequent key, and no text is shuffled.
 
 Null texts have size 1 and the CRC of no bytes; null keys count as the key 'null'. Rows that are the
 same in all three columns get one slot each, in any order. An empty table gives an empty result.
@@ -40,12 +41,8 @@ def assign(docs: DataFrame, weights: Sequence[float], added: float = 1.0) -> Dat
     """doc_id, size, text_crc32, law, shard, slot and the shard once a shard of weight added joins."""
     key = F.coalesce(F.col(common.ID).cast("string"), F.lit("null"))
     text = F.coalesce(F.col(common.TEXT), F.lit("")).cast("binary")
-    part = F.substring(F.md5(key.cast("binary")), 1, PART_DIGITS)
-    base = common.id_text(docs)
-    counts = base.select(shard_of(key, weights).alias("shard"), part.alias("part")).groupBy("shard", "part").count()
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("skip"))
-    rows = base.select(
+    part = F.substring(F.md5(F.concat(key, F.lit(":"), F.crc32(text).cast("string")).cast("binary")), 1, PART_DIGITS)
+    rows = common.id_text(docs).select(
         common.ID,
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
@@ -54,9 +51,14 @@ def assign(docs: DataFrame, weights: Sequence[float], added: float = 1.0) -> Dat
         part.alias("part"),
         shard_of(key, [*weights, added]).alias("grown_shard"),
     )
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy(common.ID, "size", "text_crc32"))
-    rows = rows.withColumn("place", place - 1).join(F.broadcast(offsets), ["shard", "part"])
-    return rows.select(common.ID, "size", "text_crc32", "law", "shard", (F.col("skip") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+    counts = rows.groupBy("shard", "part").count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("skip"))
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    place = F.sum("copies").over(Window.partitionBy("shard", "part").orderBy(common.ID, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    same = same.withColumn("place", F.coalesce(place, F.lit(0))).join(F.broadcast(offsets), ["shard", "part"])
+    first = (F.col("skip") + F.col("place")).cast("long")
+    return same.select(common.ID, "size", "text_crc32", "law", "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
 
 
 def op5_rendezvous(spark, sf_dir: str) -> DataFrame:
@@ -77,6 +79,6 @@ s AS (
   FROM d, range(9) AS r(s)),
 a AS (SELECT k, arg_min(s, draw) FILTER (s < 8) AS shard, arg_min(s, draw) AS grown FROM s GROUP BY k)
 SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 3), doc_id, size, crc) - 1 AS slot
+       row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || ':' || crc), 1, 3), doc_id, size, crc) - 1 AS slot
 FROM c JOIN a USING (k)
 """

@@ -150,7 +150,10 @@ def _(t):
     return rounded(t.part.select("p_partkey", (1.5 + 0.25 * x - 0.01 * x * x).alias("y")), "y")
 
 
-@query("lcs_similarity")
+@query("lcs_similarity", """WITH n AS (SELECT DISTINCT p_name, 'red widget' AS w FROM part), l AS (SELECT p_name, w, list_reduce(list_transform(string_split(p_name, ''), lambda c: [ord(c)::BIGINT]), lambda r, c:
+  list_transform(range(1, 11), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN ord(w[k]) = c[1] THEN CASE WHEN k = 1 THEN 0 ELSE r[k - 1] END + 1 ELSE r[k] END))),
+  list_transform(range(10), lambda i: 0::BIGINT))[10] AS n FROM n)
+  SELECT p_name, CASE WHEN contains(p_name, w) OR contains(w, p_name) THEN least(len(p_name), 10) / greatest(len(p_name), 10) ELSE n / greatest(len(p_name), 10) END AS similarity FROM l""")
 def _(t):
     names = t.part.select("p_name").distinct()
     return names.select("p_name", python_udfs.lcs_similarity(F.col("p_name"), F.lit("red widget")).alias("similarity"))

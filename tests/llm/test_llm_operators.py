@@ -51,8 +51,14 @@ def test_rules(spark):
 
 
 def test_rule_order_is_by_rejection_per_cost():
-    a, b, c = (rules.Rule(x, None) for x in "abc")
-    assert rules.order((a, b, c), [(1.0, 0.1), (0.1, 0.1), (1.0, 0.9)]) == (b, c, a)
+    own = [rules.Rule(x, lambda s: np.zeros(s.n, bool)) for x in "abc"]
+    cost = {"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (1.0, 0.9)}
+    buf, offs = vec.flat(pa.array(["x y", "z"]))
+    assert rules.order(own, buf, offs, lambda r, s: cost[r.name]) == [1, 2, 0]
+    left = []
+    halves = [rules.Rule("first", lambda s: np.arange(s.n) < 1), rules.Rule("rest", lambda s: np.ones(s.n, bool))]
+    assert rules.order(halves, buf, offs, lambda r, s: left.append((r.name, s.n)) or (1.0, 0.5 if r.name == "first" else 0.4)) == [0, 1]
+    assert left[-1] == ("rest", 1)  # measured on what the first one left
 
 
 def labelled(spark, n=480):
@@ -141,6 +147,27 @@ def test_merkle(spark):
     assert merkle.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_merkle_of_wide_and_negative_ids_and_clashing_columns(spark):
+    ids = [-(2**62), -5000, -4097, -4096, -1, 0, 4095, 2**60, 2**60 + 4000, 2**60 + 4095, 2**60 + 4096, None]
+    rows = [(i, f"u{i}", "b" * k * 1000 if k % 3 else None, "node", 7) for k, i in enumerate(ids)]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string, node string, length int")
+    size = {r.page_id: r.n for r in a.select("page_id", F.octet_length(merkle.record(F.col("page_id"), F.col("url"), F.col("html"))).alias("n")).collect()}
+    b = spark.createDataFrame([(i, u, (h or "") + "?", n, m) for i, u, h, n, m in rows], a.schema)
+    got = {r.page_id: r for r in merkle.audit(a, b).collect()}
+    assert set(got) == set(ids) and {r.status for r in got.values()} == {"corrupt"}
+    for i in ids[:-1]:
+        assert (got[i].file, got[i].offset, got[i].length) == (i // 4096, sum(n for j, n in size.items() if j is not None and j // 4096 == i // 4096 and j < i), size[i])
+
+
+def test_merkle_descends_only_below_nodes_that_differ(spark):
+    a = spark.createDataFrame([(i, "u", "b") for i in range(5000)], "page_id long, url string, html string")
+    b = a.where("page_id <> 4500")
+    trees = [merkle.tree(x, "t") for x in (a, b)]
+    differ = [len({(r.node, r.hash) for r in x.collect()} ^ {(r.node, r.hash) for r in y.collect()}) for x, y in zip(*trees, strict=True)]
+    assert differ == [1, 2, 2, 2, 2]  # a lost record changes its own branch only, though all later records move
+
+
+
 def test_pieces_are_the_models_own_without_dropout():
     import sentencepiece
 
@@ -190,8 +217,10 @@ def test_dropout_against_a_slow_agenda():
     for salt in range(40):
         for alpha in (0.0, 0.3, 0.8):
             drop = int(alpha * 2**64)
-            m, _, n = pieces._merge(v, sym.copy(), np.array([len(unit)]), np.array([salt], np.uint64), np.uint64(drop))
-            assert m[0, : n[0]].tolist() == slow_merge(v, None, unit, salt, drop)
+            m, left = pieces._merge(v, sym.copy(), np.array([len(unit)]), np.array([salt], np.uint64), np.uint64(drop))
+            assert m[0][left[0]].tolist() == slow_merge(v, None, unit, salt, drop)
+            m, left = pieces._agenda(v, sym[0], np.uint64(salt), np.uint64(drop))
+            assert m[left].tolist() == slow_merge(v, None, unit, salt, drop)
 
 
 def test_dropout_is_seeded_varied_and_lossless(spark):
@@ -257,6 +286,15 @@ def test_rendezvous(spark):
     assert rendezvous.assign(cases.empty(spark), [1.0] * 8).count() == 0
 
 
+def test_rendezvous_of_one_key(spark):
+    rows = [(7, f"t{k % 300}") for k in range(900)] + [(7, "same")] * 500 + [(None, None)] * 50
+    got = rendezvous.assign(cases.frame(spark, rows), [1.0] * 8).collect()
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1 and len(got) == len(rows)
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+
+
 def test_decontamination(spark):
     rows = cases.texts()
     passage = rows[7][1]
