@@ -149,15 +149,22 @@ def _(t):
     return rounded(geo.subsampled(c, 300.0, 100.0, 6), "x", "y", digits=9)
 
 
-@query("grid_sample")
+@query("grid_sample", """WITH e AS (SELECT * FROM (VALUES (0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.2, 0.8), (1.2, 0.8, 0.3, 1.0), (0.3, 1.0, 0.0, 0.0)) AS t(a, b, c, d)),
+  g AS (SELECT i * 0.05::DOUBLE AS x, j * 0.05::DOUBLE AS y FROM range(24) AS p(i), range(20) AS q(j)),
+  c AS (SELECT x, y, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d, greatest(0.0, least(1.0, ((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) * (c - a) + (d - b) * (d - b)))) AS t FROM g, e),
+  f AS (SELECT x, y, sum(((b > y) <> (d > y) AND x < (c - a) * (y - b) / nullif(d - b, 0) + a)::INT) AS n, min(sqrt(pow(x - a - t * (c - a), 2) + pow(y - b - t * (d - b), 2))) AS far FROM c GROUP BY x, y)
+  SELECT round(x, 6) AS lon, round(y, 6) AS lat FROM f WHERE n % 2 = 1 AND far >= greatest(2000 / 111132.95, 2000 / (111132.95 * cos(radians(y))))""")
 def _(t):
     return rounded(geo.circle_grid(t.spark, [(0.0, 0.0), (1.0, 0.0), (1.2, 0.8), (0.3, 1.0)], 2000.0, 0.05, "within"), "lon", "lat")
 
 
-@query("saturation_refine")
+@query("saturation_refine", """WITH RECURSIVE s AS (SELECT n_nationkey AS n, 1 AS r FROM nation WHERE n_nationkey < 4 UNION
+  SELECT s.n * 2 + k, r + 1 FROM s, range(2, 4) AS u(k) WHERE r < 3 AND (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = s.n) >= 3)
+  SELECT DISTINCT s_suppkey FROM supplier JOIN s ON s_nationkey = s.n""")
 def _(t):
     from ..streaming import pending
 
     shops = t.supplier.select("s_suppkey", "s_nationkey")
     find = lambda at: at.join(shops, "s_nationkey").select("s_nationkey", "s_suppkey")
-    return pending.refine(t.nation.select(F.col("n_nationkey").alias("s_nationkey")), find, lambda full: full, ["s_nationkey"], "s_suppkey", 3, 2)
+    narrow = lambda full: full.select(F.explode(F.array(F.col("s_nationkey") * 2 + 2, F.col("s_nationkey") * 2 + 3)).alias("s_nationkey")).distinct()
+    return pending.refine(t.nation.where("n_nationkey < 4").select(F.col("n_nationkey").alias("s_nationkey")), find, narrow, ["s_nationkey"], "s_suppkey", 3, 3)

@@ -360,7 +360,11 @@ def _(t):
     return rounded(t.spark.createDataFrame(series.gmm(_iv(t), "y", [], ["x"], ["w", "v"], updating=True)), "coef", "se", "z", "j", digits=2)
 
 
-@query("factor_premia")
+@query("factor_premia", f"""WITH p AS (SELECT entity, time, avg(total) AS r FROM {PANEL} GROUP BY entity, time), m AS (SELECT time, avg(r) AS market FROM p GROUP BY time),
+  l AS (SELECT entity, avg(r) AS y, regr_slope(r, market) AS x FROM p JOIN m USING (time) GROUP BY entity),
+  s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy, sxy / sxx AS b, (syy - b * sxy) / (n - 2) AS s2, b * sxy / syy AS r2 FROM l),
+  r AS (SELECT 'const' AS term, my - b * mx AS coef, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se, r2, n FROM s UNION ALL SELECT 'beta_market', b, sqrt(s2 / sxx), r2, n FROM s)
+  SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(coef / se, 3) AS t, round(r2, 3) AS r2, n FROM r""")
 def _(t):
     p = panel(t).groupBy("entity", "time").agg(F.avg("total").alias("r"))
     market = p.groupBy("time").agg(F.avg("r").alias("market"))

@@ -175,7 +175,8 @@ def _(t):
     return words.select("term", python_udfs.porter_stem(F.col("term")).alias("stem"))
 
 
-@query("entity_replace")
+@query("entity_replace", """SELECT conv_id, turn, trim(replace(replace(replace(' ' || array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '([A-Za-z]{2,}[0-9]{0,1})', 1), lambda x: lower(x)), '  ') || ' ',
+  ' of  the ', ' of_the '), ' in ', ' IN '), '  ', ' ')) AS text FROM conversations""")
 def _(t):
     a = python_udfs.entities(text.tokens(F.col("text")), {"of the": "of_the", "in": "IN"})
     return t.conversations.select("conv_id", "turn", F.array_join(a, " ").alias("text"))
