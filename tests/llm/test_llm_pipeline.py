@@ -50,6 +50,30 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == step[4].count()
 
 
+def test_awkward_rows_go_through_all_stages(spark, tmp_path):
+    rows = [*cases.texts(), (None, None), (None, ""), (6, cases.texts()[5][1]), (900, "x " * 3), (None, cases.texts()[5][1])]
+    folder = str(tmp_path)
+    docs = cases.frame(spark, rows)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    good = {(t or "") for _, t in rows if cases.quality(t)[-1]}
+    assert got and all(r.round_trip for r in got) and len(got) <= len(good)
+    for _, stage in corpus_pipeline.STAGES[1:4]:  # each by itself, nulls and empty texts included
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.benchmark_passages(spark, docs, folder).count() == len(rows)
+    once = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
+    assert len(once) == len(set(once)) and sum(not (t or "").strip() for _, t in once) == 1
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    cases.empty(spark).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
