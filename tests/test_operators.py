@@ -225,10 +225,10 @@ def test_stream(spark, tmp_path):
     assert pending.resume(df, df.where("id < 4"), "id", "id", 3).count() == 3
 
 
-def test_geo():
-    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
-    assert geo.inside(0.5, 0.5, square) and not geo.inside(1.5, 0.5, square)
-    assert math.isclose(geo.to_border(0.5, 0.2, square), 0.2)
+def test_geo(spark):
+    square, at = geo.ring_of([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]), F.lit
+    row = spark.range(1).select(geo.inside(at(0.5), at(0.5), square).alias("a"), geo.inside(at(1.5), at(0.5), square).alias("b"), geo.to_border(at(0.5), at(0.2), square).alias("d")).first()
+    assert row.a and not row.b and math.isclose(row.d, 0.2)
 
 
 def test_series():
