@@ -220,16 +220,20 @@ def quantile_fit(X: np.ndarray, y: np.ndarray, q: float, iterations: int = 200)
 
 
 def _vertex(X: np.ndarray, y: np.ndarray, q: float, beta: np.ndarray) -> np.ndarray:
-    """The best fit through as many points as there are terms, of the points nearest to beta's: an optimum is one of these."""
+    """The best fit through as many points as there are terms, of the points nearest to beta's: an optimum is one of these.
+
+    Of fits with one loss the one with the least last coefficient is taken.
+    """
     loss = lambda b: float(np.sum((y - X @ b) * (q - (y - X @ b < 0))))
-    near = np.argsort(np.abs(y - X @ beta), kind="stable")[: X.shape[1] + 6]
+    near = np.argsort(np.abs(y - X @ beta), kind="stable")[: X.shape[1] + 14]
     best, low = beta, np.inf
     for at in combinations(near.tolist(), X.shape[1]):
         part = X[list(at)]
         if abs(np.linalg.det(part)) > 1e-12 * np.prod(np.linalg.norm(part, axis=1)):
             b = np.linalg.solve(part, y[list(at)])
-            if loss(b) < low:
-                best, low = b, loss(b)
+            now = loss(b)
+            if now < low * (1 - 1e-9) or (now <= low * (1 + 1e-9) and tuple(b[::-1]) < tuple(best[::-1])):
+                best, low = b, now
     return best if low <= loss(beta) * (1 + 1e-9) else beta
 
 

@@ -279,7 +279,7 @@ def _(t):
 @query("quantreg", f"""WITH p AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY entity, time) AS i, total AS y, n AS x FROM {PANEL}),
   c AS (SELECT a.segment, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS s, a.y - s * a.x AS c FROM p a JOIN p b ON a.segment = b.segment AND a.i < b.i AND a.x <> b.x),
   l AS (SELECT c.segment, s, c, sum((y - c - s * x) * (q - (y - c - s * x < 0)::INT)) AS loss FROM c JOIN p USING (segment), (VALUES (0.5)) AS v(q) GROUP BY ALL),
-  b AS (SELECT segment, arg_min(s, loss) AS s, arg_min(c, loss) AS c FROM l GROUP BY ALL)
+  b AS (SELECT segment, first(s ORDER BY round(loss, 2), s) AS s, first(c ORDER BY round(loss, 2), s) AS c FROM l GROUP BY ALL)
   SELECT segment, 'const' AS term, round(c, 1) AS coef FROM b UNION ALL SELECT segment, 'n', round(s, 1) FROM b""")
 def _(t):
     return rounded(regress.grouped(panel(t), ["segment"], "total", ["n"], lambda X, y: regress.quantile_fit(X, y, 0.5)), "coef", digits=1)
@@ -288,7 +288,7 @@ def _(t):
 @query("quantreg_grid", f"""WITH p AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY entity, time) AS i, total AS y, n AS x FROM {PANEL}),
   c AS (SELECT a.segment, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS s, a.y - s * a.x AS c FROM p a JOIN p b ON a.segment = b.segment AND a.i < b.i AND a.x <> b.x),
   l AS (SELECT c.segment, q, s, c, sum((y - c - s * x) * (q - (y - c - s * x < 0)::INT)) AS loss FROM c JOIN p USING (segment), (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS v(q) GROUP BY ALL),
-  b AS (SELECT segment, q, arg_min(s, loss) AS s, arg_min(c, loss) AS c FROM l GROUP BY ALL)
+  b AS (SELECT segment, q, first(s ORDER BY round(loss, 2), s) AS s, first(c ORDER BY round(loss, 2), s) AS c FROM l GROUP BY ALL)
   SELECT segment, q AS quantile, 'const' AS term, round(c, 1) AS coef FROM b UNION ALL SELECT segment, q, 'n', round(s, 1) FROM b""")
 def _(t):
     parts = [regress.grouped(panel(t), ["segment"], "total", ["n"], lambda X, y, q=q: regress.quantile_fit(X, y, q)).withColumn("quantile", F.lit(q)) for q in (0.25, 0.5, 0.75)]
