@@ -1,15 +1,19 @@
 """WARC fixity audit with Merkle trees.
 
-Records of two replicas are hashed, and each replica gets a tree over ordered ranges: a leaf holds a
-record's place (file, offset, length) and SHA-256; a node hashes its up to FANOUT children in order,
-first within a file's byte ranges and then over ranges of files, up to one root. An audit compares
-the roots and descends only below nodes that differ, so equal branches are never read again and
-only the records of a damaged range meet.
-
-A file holds the records whose ids fall in one range of ids; a record's place in its file counts from
-the file's smallest id, so that nodes cover the same ids in both replicas and a lost or added record
-stays a local difference. Records with one id, if repeated, are hashed together in any order. A null id has a file of its own; null urls and bodies count as empty. An empty replica has no
-root, and every record of the other is then reported. Other columns are not read.
+Records of two replicas are hashed, and each replica gets a tree over ordered offset ranges. A leaf is a
+record: its length and SHA-256. A node holds its up to FANOUT children in order, each with the offset
+range it takes in the node, and hashes all of that; first within a file and then over files. An audit
+compares the roots and descends only below nodes that differ: equal branches are not looked into, and
+a damaged record's offset in its file is what the ranges on its path add up to.
+
+A file holds the records whose ids fall in one range of ids, and nodes are ranges of ids, so that they are the same in
+both replicas; offsets count from the node's own begin, so a lost or added record changes only the
+nodes above it. Ids below 0, from 0 on and null have a root each. Ids far apart share few nodes, and then
+a level has as many nodes as there are records, up to 16 levels for ids of 64 bits.
+
+Records with one id, if repeated, are hashed together in any order. Null urls and bodies count as empty.
+An empty replica has no root, and every record of the other is then reported. Bodies of any length are
+hashed whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import common
 
 FANOUT = 16
@@ -46,74 +51,72 @@ def leaves(pages: DataFrame) -> DataFrame:
     return one.select("id", F.col("id").alias("node"), whole.alias("hash"), "length", "copies")
 
 
+def above(node: Column) -> Column:
+    return F.shiftright(node, FANOUT.bit_length() - 1)  # rounds down, below 0 too
+
+
 def up(level: DataFrame) -> DataFrame:
-    """The level above: each node has at most FANOUT children, and sums up their bytes."""
-    parent = F.floor(F.col("node") / F.lit(FANOUT)).cast("long").alias("node")
-    kids = level.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("kids"), F.sum("length").alias("length"))
-    text = F.concat_ws("", F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["hash"])))
-    return kids.select("node", F.sha2(text, 256).alias("hash"), "length")
+    """The level above: (node, hash, length, kids), kids with their numbers, offsets in the node, lengths and hashes."""
+    kids = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))
+    rows = level.groupBy(above(F.col("node")).alias("node")).agg(kids.alias("k"), F.sum("length").alias("length"))
+    before = lambda i: F.aggregate(F.slice("k", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["length"])
+    rows = rows.withColumn("kids", F.transform("k", lambda x, i: F.struct(x["node"].alias("node"), before(i).alias("at"), x["length"].alias("length"), x["hash"].alias("hash"))))
+    text = F.concat_ws(";", F.transform("kids", lambda x: F.concat_ws(":", x["node"].cast("string"), x["at"].cast("string"), x["length"].cast("string"), x["hash"])))
+    return rows.select("node", F.sha2(text, 256).alias("hash"), "length", "kids")
 
 
-def tree(pages: DataFrame, name: str) -> list[DataFrame]:
-    """Levels from the leaves up to one root, each written in the shared folder; driver work is one count a level."""
-    levels = [common.materialise(leaves(pages), f"merkle-{name}-0")]
-    while len(levels) <= FILE_LEVELS or levels[-1].limit(3).count() > 2:  # a null id and the rest
-        levels.append(common.materialise(up(levels[-1]), f"merkle-{name}-{len(levels)}"))
-    return levels
+def tree(pages: DataFrame, name: str, levels: int = FILE_LEVELS) -> list[DataFrame]:
+    """Levels from the leaves up to the roots, each written in the shared folder; driver work is one look at each."""
+    out = [common.materialise(leaves(pages).select("node", "hash", "length"), f"merkle-{name}-0")]
+    while len(out) <= levels or out[-1].where("node NOT IN (0, -1)").limit(1).count():
+        out.append(common.materialise(up(out[-1]), f"merkle-{name}-{len(out)}"))
+    return out
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """One row for each record that differs: page_id, status, file, offset in the primary's file, length, hashes."""
-    a, b = tree(primary, "a"), tree(replica, "b")
-    top = max(len(a), len(b))
-    for levels, name in ((a, "a"), (b, "b")):
-        while len(levels) < top:
-            levels.append(common.materialise(up(levels[-1]), f"merkle-{name}-{len(levels)}"))
-    open_nodes = None
-    for k in range(top - 1, -1, -1):
-        x, y = (t[k].select("node", F.col("hash").alias(h)) for t, h in ((a, "ha"), (b, "hb")))
-        if open_nodes is not None:
-            above = F.floor(F.col("node") / F.lit(FANOUT)).cast("long")
-            x, y = (t.withColumn("up", above).join(open_nodes, F.col("up").eqNullSafe(F.col("bad")), "left_semi").drop("up") for t in (x, y))
-        differ = x.withColumnRenamed("node", "na").join(y.withColumnRenamed("node", "nb"), F.col("na").eqNullSafe(F.col("nb")), "full")
-        differ = differ.where(~F.col("ha").eqNullSafe(F.col("hb")))
-        differ = differ.select(F.coalesce("na", "nb").alias("bad"), F.col("ha").alias("primary_sha256"), F.col("hb").alias("replica_sha256"))
-        open_nodes = common.materialise(differ, f"merkle-open-{k}") if k else differ
-        if k:
-            open_nodes = open_nodes.select("bad")
-    per_file = FANOUT**FILE_LEVELS
-    file = F.floor(F.col("id") / F.lit(per_file)).cast("long")
-    leaf = a[0].select(F.col("id"), "length", file.alias("file"))
-    # offsets only in the files that hold damage, summed by ranges: first whole nodes before, then leaves of the own node
-    damaged = common.materialise(open_nodes, "merkle-found")
-    group = F.floor(F.col("id") / F.lit(FANOUT**2)).cast("long")
-    spots = damaged.select(F.col("bad").alias("id"), "primary_sha256", "replica_sha256").withColumn("file", file).withColumn("grp", group)
-    touched = spots.select("file").distinct()
-    near = leaf.withColumn("grp", group).join(touched.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")), "left_semi")
-    own = near.join(spots.select(F.col("grp").alias("g")).distinct(), F.col("grp").eqNullSafe(F.col("g")), "left_semi")
-    sums = near.groupBy("file", "grp").agg(F.sum("length").alias("bytes"))
-    inside = (
-        spots.select("id", "grp").alias("s").join(own.alias("o"), F.col("s.grp").eqNullSafe(F.col("o.grp")), "left")
-        .groupBy(F.col("s.id").alias("i"))
-        .agg(F.sum(F.when(F.col("o.id") < F.col("s.id"), F.col("o.length"))).alias("part"), F.max(F.when(F.col("o.id").eqNullSafe(F.col("s.id")), F.col("o.length"))).alias("length"))
-    )
-    ahead = (
-        spots.select("file", "grp").distinct().alias("s").join(sums.alias("t"), F.col("s.file").eqNullSafe(F.col("t.file")), "left")
-        .groupBy(F.col("s.grp").alias("ag")).agg(F.sum(F.when(F.col("t.grp") < F.col("s.grp"), F.col("t.bytes"))).alias("whole"))
-    )
-    out = spots.join(inside, F.col("id").eqNullSafe(F.col("i")), "left").join(ahead, F.col("grp").eqNullSafe(F.col("ag")), "left")
-    status = F.when(F.col("replica_sha256").isNull(), "missing").when(F.col("primary_sha256").isNull(), "extra").otherwise("corrupt")
-    return out.select(
-        F.col("id").alias("page_id"), status.alias("status"), F.col("file"),
-        (F.coalesce("whole", F.lit(0)) + F.coalesce("part", F.lit(0))).cast("long").alias("offset"), F.col("length").cast("long").alias("length"),
-        "primary_sha256", "replica_sha256",
+    with scratch.temporary(primary.sparkSession):
+        a = tree(primary, "a")
+        b = tree(replica, "b", len(a) - 1)
+        if len(b) > len(a):
+            a += [common.materialise(x, f"merkle-a-{k}") for k, x in enumerate(_higher(a[-1], len(b) - len(a)), len(a))]
+        return common.materialise(_descended(a, b), "merkle-found", keep=True)
+
+
+def _higher(level: DataFrame, n: int) -> list[DataFrame]:
+    out = [level]
+    for _ in range(n):
+        out.append(up(out[-1]))
+    return out[1:]
+
+
+def _descended(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+    x, y = (t[-1].select(F.col("node").alias(f"n{s}"), F.col("hash").alias(s)) for t, s in ((a, "ha"), (b, "hb")))
+    found = x.join(y, F.col("nha").eqNullSafe(F.col("nhb")), "full").where(~F.col("ha").eqNullSafe(F.col("hb")))
+    found = found.select(F.coalesce("nha", "nhb").alias("node"), F.lit(0).cast("long").alias("off"))
+    for k in range(len(a) - 1, 0, -1):
+        kind = a[k].schema["kids"].dataType.simpleString()
+        x, y = (t[k].select(F.col("node").alias(f"n{s}"), F.col("kids").alias(s)) for t, s in ((a, "ka"), (b, "kb")))
+        both = found.join(x, F.col("node").eqNullSafe(F.col("nka")), "left").join(y, F.col("node").eqNullSafe(F.col("nkb")), "left")
+        none = F.array().cast(kind)
+        both = both.select("off", F.coalesce("ka", none).alias("ka"), F.coalesce("kb", none).alias("kb"))
+        both = both.select("*", F.explode(F.array_union(F.transform("ka", lambda q: q["node"]), F.transform("kb", lambda q: q["node"]))).alias("node"))
+        pa_, pb = (F.get(F.filter(c, lambda q: q["node"].eqNullSafe(F.col("node"))), F.lit(0)) for c in ("ka", "kb"))
+        ahead = F.aggregate(F.filter("ka", lambda q: q["node"] < F.col("node")), F.lit(0).cast("long"), lambda s, q: s + q["length"])
+        off = F.col("off") + ahead if k <= FILE_LEVELS else F.lit(0).cast("long")
+        found = both.select("node", off.alias("off"), pa_["length"].alias("length"), pa_["hash"].alias("ha"), pb["hash"].alias("hb"))
+        found = found.where(~F.col("ha").eqNullSafe(F.col("hb")))
+    status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("corrupt")
+    return found.select(
+        F.col("node").alias("page_id"), status.alias("status"), F.shiftright("node", FILE_LEVELS * (FANOUT.bit_length() - 1)).alias("file"),
+        F.col("off").alias("offset"), F.col("length").cast("long").alias("length"), F.col("ha").alias("primary_sha256"), F.col("hb").alias("replica_sha256"),
     )
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:
     """A replica with known damage, by md5 of the id: bodies with a changed end, and records that are lost."""
     code = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    html = F.when(code == "0a", F.concat(F.col("html"), F.lit("?"))).otherwise(F.col("html"))
+    html = F.when(code == "0a", F.concat(F.coalesce(F.col("html"), F.lit("")), F.lit("?"))).otherwise(F.col("html"))
     return pages.select("page_id", "url", html.alias("html"), code.alias("code")).where(F.col("page_id").isNull() | (F.col("code") != "0b")).drop("code")
 
 
