@@ -38,7 +38,7 @@ def windows(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, n
 def places(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, int]:
     """Where repeated windows start, packed by document bucket, and the number of buckets."""
     rows = repeats.keyed(docs)
-    n = 2 * repeats.parts_of(docs)
+    n = repeats.buckets(docs)
     found = repeats.sketch(rows, lambda buf, offs: windows(buf, offs, size)[2], repeats.bits_for(rows, WORD_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(found)
 

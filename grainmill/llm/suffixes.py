@@ -1,16 +1,16 @@
-"""Substring dedup of byte strings by difference-cover blockwise suffix grouping.
+"""Substring dedup of byte strings by a difference cover and blockwise grouping.
 
 A string is SIZE consecutive bytes of one document. For a difference cover D of period V, any two
 places i and j have a step d < V with i + d and j + d both in D (mod V). So two equal strings hold,
 at the same step, cover samples that agree in their first SIZE - V + 1 bytes. First the cover
-samples' classes are counted (16 places in 181): a sample whose class has one member rules out
-every suffix that would have to agree there. Only suffixes with a class of two or more in reach go on; they are
-dealt into buckets, and one bucket at a time is sorted and its ties are repeated strings. A tie is
-decided by the fixed-size ranks, never by comparing texts, so memory is bounded by a
-bucket whatever the length of the repeats. Ranks are 88-bit fingerprints of the prefix rather than
-places in the alphabet's order: ties are what dedup needs, and fingerprints deal evenly. Before
-that, texts that are equal as wholes are settled by their hashes and one of each group stands for
-it, and a second sketch, of the candidates' own strings, drops most that agree for less than SIZE.
+samples (16 places in 181) are counted by a merged sketch: a sample that occurs once rules out
+every string that would have to agree there. Only strings in reach of a sample counted twice go on;
+they are dealt into buckets by an 88-bit fingerprint of their SIZE bytes, and one bucket at a time is
+sorted and its equal neighbours are repeated strings. Nothing is put in the alphabet's order: equal strings are all that dedup
+asks for, and fingerprints deal evenly and have a fixed size however long a repeat is.
+
+Before that, texts that are equal as wholes are settled by their hashes and one of each group stands
+for it; a second sketch, of the candidates' own strings, drops most that agree for less than SIZE.
 
 Matches never cross documents; a repeat inside one document counts, overlapping or not. Strings are
 judged on the input. Null and short texts hold no string; rows that are equal in every column are
@@ -84,7 +84,7 @@ class Finder:
         return at[some], h[some]
 
     def candidates(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places that a sample of a class of two or more has in reach, and the ranks of their strings."""
+        """Places that a sample counted twice or more has in reach, and the hashes of their strings."""
         at, _ = self.shared_samples(buf, offs)
         text = np.searchsorted(offs, at, side="right") - 1
         low = np.maximum(at - (PERIOD - 1), offs[text])  # a string in reach of a sample starts at most PERIOD - 1 bytes before it
@@ -128,7 +128,7 @@ class Finder:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
     docs = common.id_text(docs)
-    n = 2 * repeats.parts_of(docs)
+    n = repeats.buckets(docs)
     share = docs.sparkSession.sparkContext.broadcast
     copies, whole = repeats.equal_texts(repeats.keyed(docs), SIZE, n)
     rows = repeats.beside(repeats.keyed(docs), copies).where("spare IS NULL OR NOT spare").select(common.ID, "key", common.TEXT)
@@ -158,3 +158,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
     return report(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT k, n, a, substr(h, 2 * a + 1, 1600) AS s FROM d, unnest(range(0, greatest(n - 399, 0), 400)) AS u(a)),
+w AS (SELECT k, a + i AS i, md5(substr(s, 2 * i + 1, 800)) AS m FROM b, range(0, 400) AS r(i) WHERE a + i <= n - 400),
+r AS (SELECT k, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+p AS (SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + 400, true) AS new FROM r),
+q AS (SELECT k, i, sum(new::INT) OVER (PARTITION BY k ORDER BY i) AS g FROM p),
+x AS (SELECT k, g, min(i) AS s, max(i) + 400 AS e FROM q GROUP BY k, g),
+t AS (SELECT k, sum(e - s) AS gone, count(*) AS spans FROM x GROUP BY k),
+z AS (SELECT k, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS s, s AS e FROM x UNION ALL SELECT k, max(e), NULL FROM x GROUP BY k),
+y AS (SELECT k, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, n) - s)), '' ORDER BY s) AS kept FROM z JOIN d USING (k) GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (k) LEFT JOIN y USING (k)
+"""
