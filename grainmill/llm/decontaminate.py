@@ -8,7 +8,7 @@ and test fingerprints. Each hit is then extended to the windows around it, which
 words, so the result is exact.
 
 Documents are read once and never shuffled: fingerprints meet the benchmark's in a broadcast join
-when these number at most BROADCAST_ROWS (counted first; beyond, the join is shuffled), and only hits and one small
+when these are within bounds of rows and bytes (counted first; beyond, places and hashes are shuffled), and only hits and one small
 row a document go through the one exchange on the document's key. Windows of hot items carry the
 number of their set of items, not the items. Documents that are equal in id and text are counted
 and given back as often. Null texts have no words; null ids are as any other; an empty benchmark
@@ -26,7 +26,8 @@ from . import common
 
 WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1  # neighbouring grams of which the least is kept
-BROADCAST_ROWS = 1_000_000
+#: Windows of the benchmark, and bytes of their words, up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -78,13 +79,14 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return sets.withColumn("sid", F.sha2(F.concat_ws(",", "items"), 256))
 
 
-def small(frame: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+def small(frame: DataFrame, fits: bool) -> DataFrame:
+    return F.broadcast(frame) if fits else frame
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wins = common.materialise(windows(benchmark), "bench-windows")
-    rows = wins.count()
+    rows, size = wins.agg(F.count("*"), F.sum(F.octet_length("key") + 100)).first()
+    fits = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
     short = sorted(r.m for r in wins.where(F.col("m") < WINDOW).select("m").distinct().collect())
     as_words = wins.select("m", F.split("key", " ").alias("ws"))
     # a window of WINDOW words is one neighbourhood: it keeps its least gram
@@ -95,8 +97,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = kept(hashed(base))
     one = F.array(F.struct(F.lit(0).alias("m"), F.col("n").alias("i"), F.lit(0).cast("long").alias("h")))  # one row a document, whatever it hits
     extra = [prints_of(m) for m in short]
-    found = base.select(common.ID, "th", "ws", "n", F.explode(F.concat(one, "fs", *extra)).alias("f")).select(common.ID, "th", "ws", "n", "f.*")
-    found = found.join(small(prints, rows), ["m", "h"], "left").where("m = 0 OR met")
+    found = base.select(common.ID, "th", "ws", "n", F.explode(F.concat(one, "fs", *extra)).alias("f")).select(common.ID, "th", *(["ws"] if fits else []), "n", "f.*")
+    found = found.join(small(prints, fits), ["m", "h"], "left").where("m = 0 OR met")
+    if not fits:  # only places and hashes were shuffled; the words come to those that met
+        texts = base.dropDuplicates([common.ID, "th"]).select(F.col(common.ID).alias("_i"), F.col("th").alias("_t"), "ws")
+        found = found.join(texts, F.col(common.ID).eqNullSafe(F.col("_i")) & F.col("th").eqNullSafe(F.col("_t"))).drop("_i", "_t")
     # the windows that hold the gram
     low = F.when(F.col("m") == WINDOW, F.greatest(F.col("i") - (SPREAD - 1), F.lit(0))).otherwise(F.col("i"))
     high = F.when(F.col("m") == WINDOW, F.least(F.col("i"), F.col("n") - WINDOW)).otherwise(F.col("i"))
@@ -104,7 +109,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wide = near.select(common.ID, "th", "m", "i", "a", "ctx", F.explode(F.sequence("a", "b")).alias("s"))
     key = F.array_join(F.slice("ctx", F.col("s") - F.col("a") + 1, F.when(F.col("m") > 0, F.col("m")).otherwise(1)), " ")
     wide = wide.select(common.ID, "th", "m", "i", "s", key.alias("key"))
-    hits = wide.join(small(wins.select("m", "key", "sid"), rows), ["m", "key"], "left").where("m = 0 OR sid IS NOT NULL")
+    hits = wide.join(small(wins.select("m", "key", "sid"), fits), ["m", "key"], "left").where("m = 0 OR sid IS NOT NULL")
     per = hits.groupBy(common.ID, "th").agg(
         F.max(F.when(F.col("m") == 0, F.col("i"))).alias("n_words"),
         F.count(F.when(F.col("m") == 0, 1)).alias("copies"),
@@ -115,7 +120,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     walk = lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["to"]), F.lit(0))).alias("n"), F.greatest(x["e"], a["to"]).alias("to"))
     per = per.select(common.ID, "th", "n_words", "copies", F.aggregate("spans", start, walk)["n"].alias("n_hit"), F.explode_outer("sids").alias("sid"))
     sets = wins.groupBy("sid").agg(F.first("items").alias("items"))
-    per = per.join(small(sets, rows), "sid", "left").groupBy(common.ID, "th", "n_words", "copies", "n_hit").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    per = per.join(small(sets, fits), "sid", "left").groupBy(common.ID, "th", "n_words", "copies", "n_hit").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     out = per.select(
         common.ID, F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "th", "copies",
