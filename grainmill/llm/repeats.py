@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common, vec
 
 DEPTH, PAGES, MIN_BITS, MAX_BITS = 2, 64, 16, 29
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 SALT = [vec.U64(0x2545F4914F6CDD1D), vec.U64(0x9E6C63D0876A9A47)]
 
 
@@ -69,10 +69,11 @@ class Sketch:
         if self.rows is None:
             size = (1 << self.bits) // 8
             self.rows = [np.zeros(size, np.uint8) for _ in range(DEPTH)]
-            for page, data in self.pages.items():
+            for n, page in enumerate(sorted(self.pages)):  # a page goes when it is unpacked: both forms together are twice the memory
                 row, k = divmod(page, PAGES)
-                self.rows[row][k * (size // PAGES) : (k + 1) * (size // PAGES)] = np.frombuffer(zlib.decompress(data), np.uint8)
-            self.pages = {}
+                self.rows[row][k * (size // PAGES) : (k + 1) * (size // PAGES)] = np.frombuffer(zlib.decompress(self.pages.pop(page)), np.uint8)
+                if n % 16 == 15:
+                    vec.trim()
         at = np.arange(len(h))
         for row, bitmap in enumerate(self.rows):
             c = cells(h[at], row, self.bits).astype(np.int64)
@@ -110,20 +111,23 @@ def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarra
             held.clear()
             page, once, more = [], [], []
             for row in range(DEPTH):
-                c = np.sort(cells(h, row, bits))
+                c = np.empty(len(h), np.uint32)  # a part at a time: whole columns of intermediate values would be most of a worker's memory
+                for k in range(0, len(h), 1 << 18):
+                    c[k : k + (1 << 18)] = cells(h[k : k + (1 << 18)], row, bits)
+                c.sort()
                 first = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
                 dup = np.unique(c[~first])
                 c = c[first]
                 for parts, x in ((once, c), (more, dup)):
-                    cut = np.searchsorted(x, np.arange(PAGES + 1, dtype=np.uint64) << vec.U64(shift))
-                    parts += [_pack(x[cut[k] : cut[k + 1]] - (vec.U64(k) << vec.U64(shift))) for k in range(PAGES)]
+                    cut = np.append(np.searchsorted(x, np.arange(PAGES, dtype=np.uint32) << np.uint32(shift)), len(x))
+                    parts += [_pack(x[cut[k] : cut[k + 1]] - np.uint32(k << shift)) for k in range(PAGES)]
                 page += range(row * PAGES, (row + 1) * PAGES)
             yield common.batch_of(page=pa.array(page, pa.int32()), once=pa.array(once, pa.binary()), more=pa.array(more, pa.binary()))
 
         for batch in batches:
             for _, buf, offs in common.chunked(batch):
                 held.append(hashes(buf, offs))
-                if sum(map(len, held)) >= 4 * FLUSH:  # more items at once stand closer together, so their distances need fewer bytes
+                if sum(map(len, held)) >= 8 * FLUSH:  # more items at once stand closer together, so their distances need fewer bytes
                     yield from flush()
         yield from flush()
 

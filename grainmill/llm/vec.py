@@ -19,6 +19,8 @@ CHUNK = 1 << 20
 U64 = np.uint64
 
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
+if _LIBC is not None:
+    _LIBC.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: what is larger goes back to the system as soon as it is free
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Random odd values for bytes, and odd bases, of the polynomial hashes mod 2^64.
 BYTE = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1) for _ in range(2)]
