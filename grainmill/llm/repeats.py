@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common, vec
 
 DEPTH, PAGES, MIN_BITS, MAX_BITS = 2, 64, 16, 29
-FLUSH = 1 << 19
+FLUSH = 1 << 20
 SALT = [vec.U64(0x2545F4914F6CDD1D), vec.U64(0x9E6C63D0876A9A47)]
 
 
@@ -127,7 +127,7 @@ def sketch(rows: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarra
         for batch in batches:
             for _, buf, offs in common.chunked(batch):
                 held.append(hashes(buf, offs))
-                if sum(map(len, held)) >= 8 * FLUSH:  # more items at once stand closer together, so their distances need fewer bytes
+                if sum(map(len, held)) >= 4 * FLUSH:  # more items at once stand closer together, so their distances need fewer bytes
                     yield from flush()
         yield from flush()
 
