@@ -350,6 +350,34 @@ def test_suffixes(spark):
     assert suffixes.report(cases.empty(spark)).count() == 0
 
 
+def test_suffixes_beyond_their_bitmap(spark, monkeypatch):
+    """Strings that occur once are not sent, though there are many more than the bitmaps have room for."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 8000)))) for i in range(60)]
+    rows[7] = (7, rows[7][1][:3000] + rows[40][1][1111:1700] + rows[7][1][3000:])
+    sent, exact = [], repeats.exact
+
+    def look(texts, items, n):
+        sent.append(len(items(*vec.flat(pa.array([r.text for r in texts.collect()]))).h1))
+        return exact(texts, items, n)
+
+    monkeypatch.setattr(repeats, "exact", look)
+    monkeypatch.setattr(suffixes, "BITS", 14)
+    same(suffixes.report(cases.frame(spark, rows)), cases.byte_strings(rows))
+    assert 2 * 190 <= sent[0] < 2000  # of 457,000 strings
+
+
+def test_counted_marks_every_repeat(spark):
+    h = vec.mix(np.arange(40_000, dtype=np.uint64))
+    ids = lambda buf, offs: h[np.array([int(x) for x in buf.tobytes().split()])]
+    rows = [(k, k, " ".join(map(str, [*range(400 * k, 400 * k + 400), 5, 7 + k % 50])) + " ") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, key long, text string").repartition(3)
+    for items, most in ((40_000.0, 29), (4e9, 16)):  # few pages and many
+        got = repeats.counted(df, ids, items, most).maybe(h)
+        assert set(range(5, 57)) - {6} <= set(got.tolist()) and len(got) < 200
+    assert len(repeats.counted(df.limit(0), ids, 1.0).maybe(h)) == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(40)]
