@@ -350,6 +350,25 @@ def test_suffixes(spark):
     assert suffixes.report(cases.empty(spark)).count() == 0
 
 
+def test_suffixes_of_planted_passages(spark):
+    """A passage of over 50 words goes from every text, whole, if it has 400 bytes; below that, and elsewhere, nothing goes."""
+    rng = np.random.default_rng(11)
+    say = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows, want = [], []
+    for k, (size, odd) in enumerate([(399, "ab"), (400, "ab"), (399, "\u00e9\u0169"), (401, "ab"), (700, "ab"), (3000, "ab")]):  # the third's odd ones end in one byte, so it is 400
+        passage = " ".join(say(5) for _ in range(size // 6 + 1))[: size - 1] + "."
+        assert len(passage) == size and len(passage.split()) > 50
+        gone = size + (odd != "ab") if size + (odd != "ab") >= 400 else 0
+        for c, n in zip(odd, (30, 5000), strict=True):
+            before, after = say(n) + c, c + say(700)
+            rows.append((len(rows), before + passage + after.upper()))
+            raw, at = rows[-1][1].encode(), len(before.encode()) - (odd != "ab")
+            want.append((rows[-1][0], len(raw), gone, int(gone > 0), cases.sha(raw[:at] + raw[at + gone :] if gone else raw)))
+    rows.append((len(rows), say(6000)))  # a text with none
+    want.append((rows[-1][0], 6000, 0, 0, cases.sha(rows[-1][1].encode())))
+    same(suffixes.report(cases.frame(spark, rows)), want)
+
+
 def test_suffixes_beyond_their_bitmap(spark, monkeypatch):
     """Strings that occur once are not sent, though there are many more than the bitmaps have room for."""
     rng = np.random.default_rng(3)
