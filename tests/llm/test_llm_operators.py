@@ -386,6 +386,48 @@ def test_suffixes_beyond_their_bitmap(spark, monkeypatch):
     assert 2 * 190 <= sent[0] < 2000  # of 457,000 strings
 
 
+def test_suffixes_look_at_each_text_once_to_sort_it_out(spark, monkeypatch):
+    """Whether a text has candidates is asked once, for clean texts and others together, and a clean text's hashes are summed once."""
+    rows = cases.texts()
+    asked, summed, clean, applied = spark.sparkContext.accumulator(0), [], suffixes.Finder.clean, repeats.applied
+
+    def look(docs, found, n, each, schema, is_clean, copies):
+        def count(buf, offs):
+            asked.add(len(offs) - 1)
+            return is_clean(buf, offs)
+
+        return applied(docs, found, n, each, schema, count, copies)
+
+    monkeypatch.setattr(repeats, "applied", look)
+    same(suffixes.report(cases.frame(spark)), cases.byte_strings(rows))
+    assert asked.value == len(rows)
+
+    monkeypatch.setattr(vec, "sums", lambda buf, which=0, f=vec.sums: summed.append(len(buf)) or f(buf, which))
+    none = repeats.Counted(64, 16, 1, {}, 0.0)
+    buf, offs = vec.flat(pa.array([t for _, t in rows]))
+    share = lambda x: type("Shared", (), {"value": x})
+    assert clean(suffixes.Finder(share(none), share(none)), buf, offs).all() and summed == [len(buf)]
+
+
+def test_candidates_are_what_samples_have_in_reach():
+    """Against the definition, place by place; hashes against those of the strings alone."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (0, 5, 219, 220, 221, 399, 400, 401, 700, 0, 2500, 39_000)]
+    buf, offs = vec.flat(pa.array([*texts, None]))
+    want = [int(a) + i for a, t in zip(offs, texts, strict=False) for i in range(len(t) - suffixes.DEPTH + 1) if i % suffixes.PERIOD in suffixes.COVER]
+    assert suffixes.samples(offs).tolist() == want
+    some = np.sort(rng.choice(len(want), 60, replace=False))
+    cover = type("Some", (), {"value": type("Few", (), {"maybe": staticmethod(lambda h: some)})})
+    at, h = suffixes.Finder(cover).candidates(buf, offs)
+    text = np.searchsorted(offs, np.array(want)[some], side="right") - 1
+    reach = {p for s, t in zip(np.array(want)[some], text, strict=True) for p in range(max(s - suffixes.PERIOD + 1, offs[t]), s + 1) if p + suffixes.SIZE <= offs[t + 1]}
+    assert at.tolist() == sorted(reach) and len(reach) > 2000
+    alone = lambda p, which: suffixes._hashes(vec.sums(buf[p : p + suffixes.SIZE], which), np.zeros(1, int), suffixes.SIZE, which)[0]
+    assert all(h[k] == alone(at[k], 0) for k in range(0, len(at), 97))
+    second = suffixes._second(buf, at)
+    assert all(second[k] == alone(at[k], 1) for k in range(0, len(at), 97))
+
+
 def test_counted_marks_every_repeat(spark):
     h = vec.mix(np.arange(40_000, dtype=np.uint64))
     ids = lambda buf, offs: h[np.array([int(x) for x in buf.tobytes().split()])]
